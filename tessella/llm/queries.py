@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from .chat import OP5_SQL, op5_chat_formatting
+from .pieces import op7_sentencepiece
+from .quality import op4_quality_classifier
+from .secrets import op10_secret_scan
 from .suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_chat_formatting": op5_chat_formatting,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op10_secret_scan": op10_secret_scan,
 }
 SQL = {"op5_chat_formatting": OP5_SQL}
