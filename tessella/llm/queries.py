@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from .chat import OP5_SQL, op5_chat_formatting
+from .fingerprints import op9_document_fingerprints
 from .pieces import op7_sentencepiece
 from .quality import op4_quality_classifier
 from .secrets import op10_secret_scan
+from .simhash import op2_simhash_near_dedup
 from .suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_chat_formatting": op5_chat_formatting,
     "op7_sentencepiece": op7_sentencepiece,
+    "op9_document_fingerprints": op9_document_fingerprints,
     "op10_secret_scan": op10_secret_scan,
 }
 SQL = {"op5_chat_formatting": OP5_SQL}
