@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP5_SQL, op5_chat_formatting
 from .decontaminate import op3_benchmark_decontamination
 from .fingerprints import op9_document_fingerprints
+from .html import op6_html_extraction
 from .pieces import op7_sentencepiece
 from .quality import op4_quality_classifier
 from .secrets import op10_secret_scan
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_html_extraction": op6_html_extraction,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_url_filters": op8_url_filters,
     "op9_document_fingerprints": op9_document_fingerprints,

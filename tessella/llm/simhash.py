@@ -15,7 +15,6 @@ the share of links found is then measured, not certain, and every link is verifi
 from __future__ import annotations
 
 import itertools
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -74,7 +73,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def masks_for(radius: int, tables: int = 96, bits: int = 20) -> list[int]:
+def masks_for(radius: int, tables: int = 160, bits: int = 18) -> list[int]:
     """Bit masks of keys: choices of blocks for a radius up to 4 (exact), else `tables` random choices of `bits` bits."""
     if radius <= 4:
         blocks = [sum(1 << b for b in part.tolist()) for part in np.array_split(np.arange(64), radius + 4)]
@@ -188,6 +187,124 @@ def near_classes(prints: DataFrame, radius: int = 2, most: int = 3000) -> DataFr
     return prints.join(classes, "fp")
 
 
+SKETCH = 64  #: least shingle hashes that a text is first compared by
+
+
+def _sketches(words: int):
+    """From rows doc_id, text: doc_id, t (hash of the words), fp, sketch (the SKETCH least distinct shingle hashes, ascending)."""
+
+    def run(batches):
+        for b in batches:
+            data, ends = utf8(b.column(1))
+            raw, rows = data.tobytes(), []
+            for s, e in itertools.pairwise(ends.tolist()):
+                text = raw[s:e]
+                h = shingle_hashes(text, words)
+                rows.append((xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 7) - (1 << 63), fold(h) if len(h) else 0, np.unique(h)[:SKETCH].tobytes()))
+            fp = np.array([r[1] for r in rows], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array(fp), pa.array([r[2] for r in rows], pa.binary())], names=["doc_id", "t", "fp", "sketch"])
+
+    return run
+
+
+def alike(a: bytes, b: bytes) -> float:
+    """Estimated share of shingles in common, from two sketches; exact where both hold all shingles."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = np.union1d(x, y)
+    if len(x) == SKETCH or len(y) == SKETCH:
+        both = both[:SKETCH]
+    return float(np.isin(both, np.intersect1d(x, y, assume_unique=True)).sum()) / max(1, len(both))
+
+
+def _nearest(radius: int):
+    """From sorted rows key, bits, fp, rep: for each fingerprint its nearest one within the radius, and the one of the least id."""
+
+    def run(batches):
+        for batch in groups(batches, 2):
+            key, bits, fp, rep = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            cuts = run_starts(key, bits)
+            size = np.diff(cuts)
+            out = []
+            for s, n in zip(cuts[:-1][size > 1].tolist(), size[size > 1].tolist(), strict=True):
+                by_rep = np.argsort(rep[s : s + n])
+                f, r = fp[s : s + n].view(np.uint64)[by_rep], rep[s : s + n][by_rep]
+                near, least = np.full(n, 1 << 40), np.full(n, n)
+                for i, j in linked_pairs(f, radius):
+                    far = np.bitwise_count(f[i] ^ f[j]).astype(np.int64)
+                    for a, b in ((i, j), (j, i)):
+                        np.minimum.at(near, a, (far << 32) | b)
+                        np.minimum.at(least, a, b)
+                for at in (np.where(near < 1 << 40, near & 0xFFFFFFFF, n), least):
+                    have = np.flatnonzero(at < n)
+                    if len(have):
+                        other = at[have]
+                        out.append((r[np.maximum(have, other)], r[np.minimum(have, other)]))
+            if out:
+                pairs = np.unique(np.concatenate([np.stack(x) for x in out], axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return run
+
+
+def _verified(words: int, similarity: float):
+    """From rows a, b, x, y (two texts): a, b where the shingle sets are that similar."""
+
+    def run(batches):
+        for batch in batches:
+            good = []
+            for x, y in zip(texts(batch.column(2)), texts(batch.column(3)), strict=True):
+                p, q = (np.unique(shingle_hashes(t.encode(), words)) for t in (x, y))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                good.append(both >= similarity * (len(p) + len(q) - both))
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 15, tables: int = 160, bits: int = 18) -> DataFrame:
+    """(key, component) of each row of docs (key long, text): rows of one component are copies, or linked by near copies.
+
+    A link is a pair whose shingle sets have `similarity` of their union in common; texts of equal words are grouped
+    first. Candidates are pairs within `radius` bits that agree in one of `tables` choices of bits: under a choice each
+    fingerprint is paired with its nearest and with the least id near it, so pairs do not grow with the square of a
+    group. Sketches thin them out, whole texts decide. Texts of no words are not linked to any other text.
+    """
+
+    def sifted(batches):
+        for b in batches:
+            near = pa.array([alike(x, y) >= similarity - 0.15 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(near)
+
+    rows = docs.select(F.col("key").alias("doc_id"), "text")
+    prints = written(rows.mapInArrow(_sketches(words), "doc_id long, t long, fp long, sketch binary"), "sketches")
+    full = F.length("sketch") > 0
+    heads = prints.where(full).groupBy("t", "fp").agg(F.min("doc_id").alias("rep"))
+    found = _keyed(heads, masks_for(radius, tables, bits)).mapInArrow(_nearest(radius), "a long, b long").distinct()
+    sketch = prints.where(full).select(F.col("doc_id").alias("rep"), "sketch").groupBy("rep").agg(F.min("sketch").alias("sketch"))
+    pairs = found.join(sketch.toDF("a", "x"), "a").join(sketch.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(sifted, "a long, b long")
+    pairs = written(pairs, "pairs")
+    text = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
+    links = pairs.join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_verified(words, similarity), "a long, b long")
+    reached = components(links).withColumnRenamed("node", "rep")
+    classes = heads.join(reached, "rep", "left").select("t", "fp", F.coalesce("component", "rep").alias("component"))
+    return prints.join(classes, ["t", "fp"], "left").select(F.col("doc_id").alias("key"), F.when(full, F.col("component")).otherwise(F.col("doc_id")).alias("component"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs (doc_id, text and others) with one document of each component, that of the least id.
+
+    Null texts are empty and, like all texts without words, stay. Null ids count as the least id. Rows that share an id
+    stay or go together; one of equal rows stays.
+    """
+    from .common import LOWEST
+
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
+    classes = near_duplicates(docs.select(key.alias("key"), "text"), words, similarity)
+    kept = classes.where("key = component").select(F.col("key").alias("_kept_key")).distinct()
+    return docs.join(kept, key == F.col("_kept_key"), "left_semi")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null texts are empty; rows with one id each have their fingerprint and share in their classes."""
     found = near_classes(fingerprints(read(spark, sf_dir, "documents")), 2)
