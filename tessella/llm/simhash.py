@@ -187,6 +187,7 @@ def near_classes(prints: DataFrame, radius: int = 2, most: int = 3000) -> DataFr
     return prints.join(classes, "fp")
 
 
+NEAREST = 4  #: fingerprints that one is paired with under a choice of bits, besides the one of the least id
 SKETCH = 64  #: least shingle hashes that a text is first compared by
 
 
@@ -217,7 +218,7 @@ def alike(a: bytes, b: bytes) -> float:
 
 
 def _nearest(radius: int):
-    """From sorted rows key, bits, fp, rep: for each fingerprint its nearest one within the radius, and the one of the least id."""
+    """From sorted rows key, bits, fp, rep: for each fingerprint its nearest ones within the radius, and the one of the least id."""
 
     def run(batches):
         for batch in groups(batches, 2):
@@ -228,17 +229,17 @@ def _nearest(radius: int):
             for s, n in zip(cuts[:-1][size > 1].tolist(), size[size > 1].tolist(), strict=True):
                 by_rep = np.argsort(rep[s : s + n])
                 f, r = fp[s : s + n].view(np.uint64)[by_rep], rep[s : s + n][by_rep]
-                near, least = np.full(n, 1 << 40), np.full(n, n)
+                best, least = np.zeros((3, 0), np.int64), np.full(n, n)
                 for i, j in linked_pairs(f, radius):
                     far = np.bitwise_count(f[i] ^ f[j]).astype(np.int64)
-                    for a, b in ((i, j), (j, i)):
-                        np.minimum.at(near, a, (far << 32) | b)
-                        np.minimum.at(least, a, b)
-                for at in (np.where(near < 1 << 40, near & 0xFFFFFFFF, n), least):
-                    have = np.flatnonzero(at < n)
-                    if len(have):
-                        other = at[have]
-                        out.append((r[np.maximum(have, other)], r[np.minimum(have, other)]))
+                    np.minimum.at(least, np.concatenate([i, j]), np.concatenate([j, i]))
+                    best = np.concatenate([best, np.stack([i, far, j]), np.stack([j, far, i])], axis=1)
+                    best = best[:, np.lexsort(best[::-1])]
+                    first = run_starts(best[0])
+                    best = best[:, np.arange(best.shape[1]) - np.repeat(first[:-1], np.diff(first)) < NEAREST]
+                have = np.flatnonzero(least < n)
+                for x, y in ((best[0], best[2]), (have, least[have])):
+                    out.append((r[np.maximum(x, y)], r[np.minimum(x, y)]))
             if out:
                 pairs = np.unique(np.concatenate([np.stack(x) for x in out], axis=1), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
@@ -267,7 +268,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
 
     A link is a pair whose shingle sets have `similarity` of their union in common; texts of equal words are grouped
     first. Candidates are pairs within `radius` bits that agree in one of `tables` choices of bits: under a choice each
-    fingerprint is paired with its nearest and with the least id near it, so pairs do not grow with the square of a
+    fingerprint is paired with its four nearest and with the least id near it, so pairs do not grow with the square of a
     group. Sketches thin them out, whole texts decide. Texts of no words are not linked to any other text.
     """
 
