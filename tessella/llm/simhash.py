@@ -86,13 +86,15 @@ def _pivots() -> np.ndarray:
     return np.random.default_rng(1).integers(0, 1 << 64, PIVOTS, dtype=np.uint64)
 
 
-def linked_pairs(fps: np.ndarray, radius: int):
-    """Index arrays (i, j) of the pairs of fps (uint64) within the radius, by the pivot table, in blocks of bounded size."""
+def linked_pairs(fps: np.ndarray, radius: int, group: np.ndarray | None = None):
+    """Index arrays (i, j) of the pairs of fps (uint64) of one group within the radius, by the pivot table, in bounded blocks."""
     n = len(fps)
-    table = np.bitwise_count(fps[:, None] ^ _pivots()[None, :]).astype(np.int16)
-    order = np.lexsort(table.T[::-1])
-    table, fps = table[order], fps[order]
-    upto = np.searchsorted(table[:, 0], table[:, 0] + radius, side="right")
+    pivots = _pivots()[: PIVOTS if radius <= 4 else 2]  # with a large radius further coordinates discard next to nothing
+    table = np.bitwise_count(fps[:, None] ^ pivots[None, :]).astype(np.int16)
+    first = table[:, 0] + (0 if group is None else group.astype(np.int64) * 256)
+    order = np.argsort(first, kind="stable")
+    first, table, fps = first[order].astype(np.int64), table[order], fps[order]
+    upto = np.searchsorted(first, first + radius, side="right")
     start = 0
     while start < n:
         size = np.cumsum(upto[start:] - np.arange(start, n) - 1)
@@ -100,7 +102,7 @@ def linked_pairs(fps: np.ndarray, radius: int):
         many = upto[start:end] - np.arange(start, end) - 1
         i = np.repeat(np.arange(start, end), many)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
-        for k in range(1, PIVOTS):
+        for k in range(1, len(pivots)):
             near = np.abs(table[i, k] - table[j, k]) <= radius
             i, j = i[near], j[near]
         near = np.bitwise_count(fps[i] ^ fps[j]) <= radius
@@ -120,21 +122,17 @@ def flipped_pairs(fps: np.ndarray, radius: int, free: list[int]):
 
 
 def _low(n: int, pairs) -> np.ndarray:
-    """For each of n indexes the smallest that it is linked to, by pairs."""
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
+    """For each of n indexes the smallest that it is linked to, by pairs: each round hooks the larger root to the smaller."""
+    root = np.arange(n)
     for i, j in pairs:
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            a, b = find(a), find(b)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    return np.array([find(x) for x in range(n)])
+        a, b = root[i], root[j]
+        while (open_ := a != b).any():
+            a, b = a[open_], b[open_]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(up := root[root], root):
+                root = up
+            a, b = root[a], root[b]
+    return root
 
 
 def _stars(radius: int, masks: list[int], most: int):
@@ -145,23 +143,22 @@ def _stars(radius: int, masks: list[int], most: int):
             key, bits, fp, rep = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             cuts = run_starts(key, bits)
             size = np.diff(cuts)
-            a, b = [], []
-            for s, n in zip(cuts[:-1][size > 1].tolist(), size[size > 1].tolist(), strict=True):
-                f, r = fp[s : s + n].view(np.uint64), rep[s : s + n]
-                if n == 2:
-                    if int(f[0] ^ f[1]).bit_count() <= radius:
-                        a.append(r[:1])
-                        b.append(r[1:])
-                    continue
-                by_rep = np.argsort(r)
-                f, r = f[by_rep], r[by_rep]
-                free = [k for k in range(64) if not masks[key[s]] >> k & 1]
-                low = _low(n, flipped_pairs(f, radius, free) if n > most and radius <= 2 else linked_pairs(f, radius))
-                moved = np.flatnonzero(low != np.arange(n))
-                a.append(r[moved])
-                b.append(r[low[moved]])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            of = np.repeat(np.arange(len(size)), size)
+            many = size[of]
+            links = []
+            large = many > most if radius <= 2 else np.zeros(len(fp), bool)
+            at = np.flatnonzero((many > 1) & ~large)
+            at = at[np.lexsort((rep[at], of[at]))]
+            low = _low(len(at), linked_pairs(fp[at].view(np.uint64), radius, of[at]))
+            links.append((at, at[low]))
+            for g in np.unique(of[large]).tolist():
+                at = np.arange(cuts[g], cuts[g + 1])
+                at = at[np.argsort(rep[at])]
+                free = [k for k in range(64) if not masks[key[cuts[g]]] >> k & 1]
+                links.append((at, at[_low(len(at), flipped_pairs(fp[at].view(np.uint64), radius, free))]))
+            a, b = (np.concatenate(x) for x in zip(*links, strict=True))
+            a, b = rep[a[a != b]], rep[b[a != b]]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
@@ -225,23 +222,22 @@ def _nearest(radius: int):
             key, bits, fp, rep = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             cuts = run_starts(key, bits)
             size = np.diff(cuts)
-            out = []
-            for s, n in zip(cuts[:-1][size > 1].tolist(), size[size > 1].tolist(), strict=True):
-                by_rep = np.argsort(rep[s : s + n])
-                f, r = fp[s : s + n].view(np.uint64)[by_rep], rep[s : s + n][by_rep]
-                best, least = np.zeros((3, 0), np.int64), np.full(n, n)
-                for i, j in linked_pairs(f, radius):
-                    far = np.bitwise_count(f[i] ^ f[j]).astype(np.int64)
-                    np.minimum.at(least, np.concatenate([i, j]), np.concatenate([j, i]))
-                    best = np.concatenate([best, np.stack([i, far, j]), np.stack([j, far, i])], axis=1)
-                    best = best[:, np.lexsort(best[::-1])]
-                    first = run_starts(best[0])
-                    best = best[:, np.arange(best.shape[1]) - np.repeat(first[:-1], np.diff(first)) < NEAREST]
-                have = np.flatnonzero(least < n)
-                for x, y in ((best[0], best[2]), (have, least[have])):
-                    out.append((r[np.maximum(x, y)], r[np.minimum(x, y)]))
-            if out:
-                pairs = np.unique(np.concatenate([np.stack(x) for x in out], axis=1), axis=1)
+            of = np.repeat(np.arange(len(size)), size)
+            at = np.flatnonzero(size[of] > 1)
+            at = at[np.lexsort((rep[at], of[at]))]
+            f, r, n = fp[at].view(np.uint64), rep[at], len(at)
+            best, least = np.zeros((3, 0), np.int64), np.full(n, n)
+            for i, j in linked_pairs(f, radius, of[at]):
+                far = np.bitwise_count(f[i] ^ f[j]).astype(np.int64)
+                np.minimum.at(least, np.concatenate([i, j]), np.concatenate([j, i]))
+                best = np.concatenate([best, np.stack([i, far, j]), np.stack([j, far, i])], axis=1)
+                best = best[:, np.lexsort(best[::-1])]
+                first = run_starts(best[0])
+                best = best[:, np.arange(best.shape[1]) - np.repeat(first[:-1], np.diff(first)) < NEAREST]
+            have = np.flatnonzero(least < n)
+            x, y = np.concatenate([best[0], have]), np.concatenate([best[2], least[have]])
+            if len(x):
+                pairs = np.unique(np.stack([r[np.maximum(x, y)], r[np.minimum(x, y)]]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     return run
