@@ -2,31 +2,21 @@
 
 from __future__ import annotations
 
-import itertools
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
+from ..plans.lineage import written
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    return where or "/tmp/tessella-shared"
+__all__ = ["LOWEST", "components", "groups", "keyed", "read", "run_starts", "texts", "utf8", "written"]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage and outlives any executor."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def texts(column: pa.Array) -> list[str]:
@@ -84,41 +74,6 @@ def run_starts(*columns: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(new), n)
 
 
-def mapped(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-    """mapInArrow with a function from one batch to one batch (or None)."""
-
-    def each(batches):
-        for b in batches:
-            if b.num_rows and (out := f(b)) is not None:
-                yield out
-
-    return df.mapInArrow(each, schema)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b long): one row (node, component) for each node, component its smallest node.
-
-    Alternates the large-star and small-star steps, each a grouped minimum and a join; both sides stay distributed.
-    Null ends are left out. A component of n nodes takes O(log n) rounds; each round is a written table.
-    """
-    edges = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = written(edges, "edges")
-    before = None
-    for _ in itertools.count():
-        both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        edges = written(small, "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
-            break
-        before = tuple(now)
-    star = edges.groupBy("a").agg(F.min("b").alias("component"))
-    return star.toDF("node", "component").union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component"))
-
-
 LOWEST = -(1 << 63)
 
 
@@ -130,6 +85,4 @@ def keyed(docs: DataFrame, text: bool = True) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     if rows.groupBy("key").count().where("count > 1").isEmpty():
         return rows.select("key", F.lit(0).cast("long").alias("tie"), "doc_id", "text")
-    from pyspark.sql import Window
-
     return rows.select("key", (F.row_number().over(Window.partitionBy("key").orderBy("text")) - 1).cast("long").alias("tie"), "doc_id", "text")

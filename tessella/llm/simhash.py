@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, groups, read, run_starts, texts, utf8, written
+from .common import LOWEST, components, groups, read, run_starts, texts, utf8, written
 
 SPREAD = np.array([int.from_bytes(bytes((b >> k) & 1 for k in range(8)), "little") for b in range(256)], np.uint64)
 STEP = 200_000  # shingles at a time
@@ -294,8 +294,6 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     Null texts are empty and, like all texts without words, stay. Null ids count as the least id. Rows that share an id
     stay or go together; one of equal rows stays.
     """
-    from .common import LOWEST
-
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
     classes = near_duplicates(docs.select(key.alias("key"), "text"), words, similarity)
     kept = classes.where("key = component").select(F.col("key").alias("_kept_key")).distinct()
