@@ -163,10 +163,10 @@ def _stars(radius: int, masks: list[int], most: int):
     return run
 
 
-def _keyed(distinct: DataFrame, masks: list[int]) -> DataFrame:
-    """A row (key, bits, fp, rep) for each key of each distinct fingerprint, dealt and sorted by key."""
+def _keyed(distinct: DataFrame, masks: list[int], *more: str) -> DataFrame:
+    """A row (key, bits, fp, rep and more) for each key of each distinct fingerprint, dealt and sorted by key."""
     each = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks])).alias("key", "bits")
-    return distinct.select(each, "fp", "rep").repartition("key", "bits").sortWithinPartitions("key", "bits")
+    return distinct.select(each, "fp", "rep", *more).repartition("key", "bits").sortWithinPartitions("key", "bits")
 
 
 def near_classes(prints: DataFrame, radius: int = 2, most: int = 3000) -> DataFrame:
@@ -185,6 +185,7 @@ def near_classes(prints: DataFrame, radius: int = 2, most: int = 3000) -> DataFr
 
 
 NEAREST = 4  #: fingerprints that one is paired with under a choice of bits, besides the one of the least id
+FIRST = 12  #: choices of bits of the first round; later ones look only for links between its components
 SKETCH = 64  #: least shingle hashes that a text is first compared by
 
 
@@ -215,19 +216,22 @@ def alike(a: bytes, b: bytes) -> float:
 
 
 def _nearest(radius: int):
-    """From sorted rows key, bits, fp, rep: for each fingerprint its nearest ones within the radius, and the one of the least id."""
+    """From sorted rows key, bits, fp, rep, comp: for each fingerprint its nearest ones within the radius, and the one of the
+    least id, of those in other components than its own."""
 
     def run(batches):
         for batch in groups(batches, 2):
-            key, bits, fp, rep = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            key, bits, fp, rep, comp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             cuts = run_starts(key, bits)
             size = np.diff(cuts)
             of = np.repeat(np.arange(len(size)), size)
             at = np.flatnonzero(size[of] > 1)
             at = at[np.lexsort((rep[at], of[at]))]
-            f, r, n = fp[at].view(np.uint64), rep[at], len(at)
+            f, r, own, n = fp[at].view(np.uint64), rep[at], comp[at], len(at)
             best, least = np.zeros((3, 0), np.int64), np.full(n, n)
             for i, j in linked_pairs(f, radius, of[at]):
+                apart = own[i] != own[j]
+                i, j = i[apart], j[apart]
                 far = np.bitwise_count(f[i] ^ f[j]).astype(np.int64)
                 np.minimum.at(least, np.concatenate([i, j]), np.concatenate([j, i]))
                 best = np.concatenate([best, np.stack([i, far, j]), np.stack([j, far, i])], axis=1)
@@ -265,7 +269,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
     A link is a pair whose shingle sets have `similarity` of their union in common; texts of equal words are grouped
     first. Candidates are pairs within `radius` bits that agree in one of `tables` choices of bits: under a choice each
     fingerprint is paired with its four nearest and with the least id near it, so pairs do not grow with the square of a
-    group. Sketches thin them out, whole texts decide. Texts of no words are not linked to any other text.
+    group. Sketches thin them out, whole texts decide. After a first round of a few choices, the rest look for links between
+    the components found, since links within one add nothing. Texts of no words are not linked to any other text.
     """
 
     def sifted(batches):
@@ -277,13 +282,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
     prints = written(rows.mapInArrow(_sketches(words), "doc_id long, t long, fp long, sketch binary"), "sketches")
     full = F.length("sketch") > 0
     heads = prints.where(full).groupBy("t", "fp").agg(F.min("doc_id").alias("rep"))
-    found = _keyed(heads, masks_for(radius, tables, bits)).mapInArrow(_nearest(radius), "a long, b long").distinct()
     sketch = prints.where(full).select(F.col("doc_id").alias("rep"), "sketch").groupBy("rep").agg(F.min("sketch").alias("sketch"))
-    pairs = found.join(sketch.toDF("a", "x"), "a").join(sketch.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(sifted, "a long, b long")
-    pairs = written(pairs, "pairs")
     text = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
-    links = pairs.join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_verified(words, similarity), "a long, b long")
-    reached = components(links).withColumnRenamed("node", "rep")
+    masks, links, reached = masks_for(radius, tables, bits), None, None
+    for part in (masks[:FIRST], masks[FIRST:]):
+        comp = heads.withColumn("comp", F.col("rep")) if reached is None else heads.join(reached, "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+        found = _keyed(comp, part, "comp").mapInArrow(_nearest(radius), "a long, b long").distinct()
+        pairs = found.join(sketch.toDF("a", "x"), "a").join(sketch.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(sifted, "a long, b long")
+        pairs = written(pairs, "pairs")
+        new = pairs.join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_verified(words, similarity), "a long, b long")
+        new = written(new, "links")
+        links = new if links is None else links.union(new)
+        reached = components(links).withColumnRenamed("node", "rep")
     classes = heads.join(reached, "rep", "left").select("t", "fp", F.coalesce("component", "rep").alias("component"))
     return prints.join(classes, ["t", "fp"], "left").select(F.col("doc_id").alias("key"), F.when(full, F.col("component")).otherwise(F.col("doc_id")).alias("component"))
 
