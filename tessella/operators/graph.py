@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import written
@@ -80,16 +80,32 @@ def aggregate_map(labels: DataFrame) -> DataFrame:
     return labels.select("agg_id", (F.row_number().over(Window.partitionBy("agg_id").orderBy("vid")) - 1).cast("long").alias("position"), "vid")
 
 
+def _ranges(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows as a written table, sorted within ranges of the order, with the range (_p) and the place in it (_k)."""
+    held = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    held = written(held, "ranges")
+    return held.withColumn("_p", F.shiftright("_at", 33)).withColumn("_k", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
+
+
+def _before(held: DataFrame, amount: Column) -> Column:
+    """For a range, the sum of an amount over the ranges before it: one number for each range goes through the driver."""
+    sums = sorted(held.groupBy("_p").agg(amount).collect())
+    starts = itertools.accumulate([0, *(n for _, n in sums)])
+    table = [F.lit(x) for (p, _), at in zip(sums, starts, strict=False) for x in (p, at)]
+    return F.element_at(F.create_map(*table), F.col("_p")) if table else F.lit(0)
+
+
 def numbered(rows: DataFrame, order: list[str], name: str = "new_id") -> DataFrame:
     """rows with 0, 1, ... in the order of columns: ranges are sorted apart and get offsets, so no task has all rows."""
-    held = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("_at", 33)
-    sizes = sorted(held.groupBy(part.alias("p")).count().collect())  # one row for each partition
-    offsets = dict(zip([p for p, _ in sizes], itertools.accumulate([0, *(n for _, n in sizes)]), strict=False))
-    if not offsets:
-        return held.withColumn(name, F.col("_at")).drop("_at")
-    table = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])
-    return held.withColumn(name, (F.element_at(table, part) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_at")
+    held = _ranges(rows, order)
+    return held.withColumn(name, (_before(held, F.count(F.lit(1))) + F.col("_k")).cast("long")).drop("_p", "_k")
+
+
+def running_sum(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """rows with the sum of a whole number over themselves and all before, in the same way."""
+    held = _ranges(rows, order)
+    inside = F.sum(value).over(Window.partitionBy("_p").orderBy("_k"))
+    return held.withColumn(name, (_before(held, F.sum(value)) + inside).cast("long")).drop("_p", "_k")
 
 
 def permutation(labels: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -100,7 +116,7 @@ def permutation(labels: DataFrame, blocks: DataFrame) -> DataFrame:
 def offsets(labels: DataFrame) -> DataFrame:
     """(agg_id, start): where a part begins when vertices are in the order of their labels."""
     sizes = part_sizes(labels).select("agg_id", "size")
-    return sizes.select("agg_id", (F.sum("size").over(Window.orderBy("agg_id")) - F.col("size")).cast("long").alias("start"))
+    return running_sum(sizes, ["agg_id"], "size", "_upto").select("agg_id", (F.col("_upto") - F.col("size")).alias("start"))
 
 
 def renumbered(labels: DataFrame) -> DataFrame:

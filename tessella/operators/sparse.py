@@ -98,3 +98,11 @@ def block_jacobi(a: DataFrame, b: DataFrame, blocks: DataFrame, weight: float =
     """Jacobi sweeps from zero that use entries inside blocks (vid, block_id) and the diagonal only."""
     kept = block_split(a, blocks, symmetric=False).where("side = 'inside' or i = j").select("i", "j", "v")
     return jacobi(kept, b, None, weight, sweeps)
+
+
+def piecewise_correction(x: DataFrame, coarse: DataFrame, agg: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """x plus, for each vertex, the coarse value of its part, times its weight (i, v) if weights are given."""
+    step = agg.join(coarse.select(F.col("i").alias("agg_id"), "v"), "agg_id").select(F.col("vid").alias("i"), "v")
+    if weights is not None:
+        step = step.join(weights.select("i", F.col("v").alias("_w")), "i").select("i", (F.col("v") * F.col("_w")).alias("v"))
+    return axpby(1.0, x, 1.0, step)
