@@ -19,7 +19,7 @@ def _entries(cells: DataFrame, k: int, value) -> DataFrame:
     return cells.select(F.explode(local).alias("e")).select("e.*").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
-def _area2(w=None) -> Column:
+def _area2() -> Column:
     (x0, y0, _), (x1, y1, _), (x2, y2, _) = (corner(k) for k in range(3))
     return (x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0)
 

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cross, distance, dot, length, scale, sub, vec
+from ..functions.vectors import cross, distance, dot, length, scale, sub
 
 
 def corner_names(cells: DataFrame) -> list[str]:
@@ -164,6 +164,3 @@ def vertex_normals(tris: DataFrame, vertices: DataFrame) -> DataFrame:
     n = adjacent_cells(tris).join(normals(tris, vertices), "cid").groupBy("vid").agg(*[F.sum(f"n{a}").alias(f"n{a}") for a in "xyz"])
     size = reduce(lambda a, b: a + b, [F.col(f"n{a}") * F.col(f"n{a}") for a in "xyz"])
     return n.select("vid", *[F.when(size > 0, F.col(f"n{a}") / F.sqrt(size)).alias(f"n{a}") for a in "xyz"])
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "reduce", "vec")]

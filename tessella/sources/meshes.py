@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from ..operators.graph import numbered
 
 Mesh = tuple[DataFrame, DataFrame]
-FAN_ROWS = "path string, kind string, k long, x double, y double, z double, corners array<bigint>"
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -154,9 +153,10 @@ def parse_ply(data: bytes) -> tuple[np.ndarray, list]:
         cols, n_rows = grid
         for r in range(n_rows - 1):
             for c in range(cols - 1):
-                a, b, d, e = cells[r * cols + c], cells[r * cols + c + 1], cells[(r + 1) * cols + c], cells[(r + 1) * cols + c + 1]
-                faces += [[p for p in q] for q in ((a, b, e, d),) if min(q) >= 0]
-                faces += [t for t in ((a, b, d), (b, e, d), (a, b, e), (a, e, d)) if min(t) >= 0 and min(a, b, d, e) < 0][:1]
+                square = [cells[k] for k in (r * cols + c, r * cols + c + 1, (r + 1) * cols + c + 1, (r + 1) * cols + c)]
+                there = [k for k in square if k >= 0]
+                if len(there) > 2:
+                    faces.append(there)
     return points, [list(f) for f in faces]
 
 

@@ -1,0 +1 @@
+"""No streams: the operators are batch operators, and the reference has none that are not."""

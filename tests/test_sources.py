@@ -55,6 +55,12 @@ def test_text_formats():
     same(meshes.parse_ray(b"".join(b"#vertex %g %g %g 0 0 1\n" % tuple(x) for x in p) + b"".join(b"#shape_triangle 0 %d %d %d\n" % tuple(x) for x in f)))
 
 
+def test_range_grid():
+    head = b"ply\nformat ascii 1.0\nobj_info num_cols 3\nobj_info num_rows 2\nelement vertex 5\nproperty float x\nproperty float y\nproperty float z\nelement range_grid 6\nproperty list uchar int vertex_indices\nend_header\n"
+    points, faces = meshes.parse_ply(head + b"0 0 0\n1 0 0\n2 0 0\n0 1 0\n1 1 0\n" + b"1 0\n1 1\n1 2\n1 3\n1 4\n0\n")
+    assert len(points) == 5 and faces == [[0, 1, 4, 3], [1, 2, 4]]
+
+
 @pytest.mark.parametrize("order", ["<", ">"])
 def test_binary_ply(spark, tmp_path, order):
     name = {"<": "little", ">": "big"}[order]
