@@ -9,12 +9,14 @@ group is given on, so links grow with the number of fingerprints, and components
 
 Keys: for a radius up to 4 the bits are cut in blocks, and every choice of blocks that can be free of differing bits is
 a key, so no link is lost (exact). For a larger radius, as similarity 0.8 needs, keys are fixed random choices of bits;
-the share of links found is then measured, not certain, and every link is verified on the texts' shingles.
+they join the bulk of large groups only. A second way is exact: texts that similar share one of their rarest shingles
+(prefix filter), and every pair that meets there in two components, and that no bound rules out, is verified.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -185,23 +187,107 @@ def near_classes(prints: DataFrame, radius: int = 2, most: int = 3000) -> DataFr
 
 
 NEAREST = 4  #: fingerprints that one is paired with under a choice of bits, besides the one of the least id
-FIRST = 12  #: choices of bits of the first round; later ones look only for links between its components
-SKETCH = 64  #: least shingle hashes that a text is first compared by
+FIRST = 12  #: choices of bits of the first round; the exact round looks only for links between its components
+SKETCH = 64  #: least shingle hashes that a text of the first round is compared by
+SAMPLE, COMMON = 20_000, 3  #: texts in which shingles are counted, least count of a common one; both only set an order
+BITS = 256  #: bits of the parities of a text's shingles
+PRINTS = "doc_id long, t long, fp long, sketch binary, n int, prefix array<long>, b0 long, b1 long, b2 long, b3 long"
 
 
-def _sketches(words: int):
-    """From rows doc_id, text: doc_id, t (hash of the words), fp, sketch (the SKETCH least distinct shingle hashes, ascending)."""
+def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes (ascending) that COMMON texts of some SAMPLE have, and how many have them: SAMPLE / COMMON texts' worth at most."""
 
     def run(batches):
         for b in batches:
             data, ends = utf8(b.column(1))
-            raw, rows = data.tobytes(), []
+            raw = data.tobytes()
             for s, e in itertools.pairwise(ends.tolist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(raw[s:e], words)).view(np.int64))], names=["h"])
+
+    rate = max(1, -(-rows.count() // SAMPLE))
+    some = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rate)) == 0).select("doc_id", "text")
+    found = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON).toArrow()
+    h, count = (found.column(k).to_numpy() for k in range(2))
+    h = h.astype(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], count[order].astype(np.int64)
+
+
+def prefix(h: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The rarest of distinct shingle hashes h: two sets that similar have one of these in common, whatever the counts are."""
+    seen, count = common
+    many = np.zeros(len(h), np.int64)
+    if len(seen):
+        at = np.minimum(np.searchsorted(seen, h), len(seen) - 1)
+        many = np.where(seen[at] == h, count[at], 0)
+    return h[np.lexsort((h, many))][: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+
+
+def _sketches(words: int, common: tuple[np.ndarray, np.ndarray], similarity: float):
+    """From rows doc_id, text: PRINTS, which are doc_id, t (hash of the words), fp, sketch (the SKETCH least distinct shingle
+    hashes, ascending), n (the number of distinct ones), prefix, and the parities of the numbers of hashes by their last bits."""
+
+    def run(batches):
+        for b in batches:
+            data, ends = utf8(b.column(1))
+            raw, t, fp, sketch, n, rare = data.tobytes(), [], [], [], [], []
+            parity = np.zeros((b.num_rows, BITS // 8), np.uint8)
+            for k, (s, e) in enumerate(itertools.pairwise(ends.tolist())):
                 text = raw[s:e]
                 h = shingle_hashes(text, words)
-                rows.append((xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 7) - (1 << 63), fold(h) if len(h) else 0, np.unique(h)[:SKETCH].tobytes()))
-            fp = np.array([r[1] for r in rows], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array(fp), pa.array([r[2] for r in rows], pa.binary())], names=["doc_id", "t", "fp", "sketch"])
+                u = np.unique(h)
+                t.append(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 7) - (1 << 63))
+                fp.append(fold(h) if len(h) else 0)
+                sketch.append(u[:SKETCH].tobytes())
+                n.append(len(u))
+                rare.append(prefix(u, common, similarity).view(np.int64) if len(u) else np.zeros(0, np.int64))
+                parity[k] = np.packbits((np.bincount((u % BITS).astype(np.int64), minlength=BITS) & 1).astype(np.uint8))
+            cuts = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
+            lists = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([np.zeros(0, np.int64), *rare])))
+            fps = np.array(fp, np.uint64).view(np.int64)
+            cols = [b.column(0), pa.array(t, pa.int64()), pa.array(fps), pa.array(sketch, pa.binary()), pa.array(n, pa.int32()), lists, *(pa.array(c) for c in parity.view(np.int64).T)]
+            yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in PRINTS.split(", ")])
+
+    return run
+
+
+def _meeting(similarity: float):
+    """From sorted rows token, comp, place, n, rep, b0..b3: pairs (a, b) of one token and two components that may be that similar.
+
+    With J >= s, sets of x and y hashes have s / (1 + s) * (x + y) in common at least and differ in the rest. That bounds
+    the sizes, what is left after the first common token, and the number of parities that differ. No bound drops a link.
+    """
+    share = similarity / (1 + similarity)
+
+    def run(batches):
+        for batch in groups(batches, 1):
+            token, comp, place, n, rep, *bits = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            size = np.diff(run_starts(token))
+            keep = np.flatnonzero(np.repeat(size, size) > 1)
+            token, comp, place, n, rep = (c[keep] for c in (token, comp, place, n, rep))
+            bits = np.stack([c[keep] for c in bits], axis=1).view(np.uint64)
+            place, n = place.astype(np.int64), n.astype(np.int64)
+            ends, runs = run_starts(token), run_starts(token, comp)
+            # each is held against the rows of its token behind its component's
+            behind, upto = np.repeat(runs[1:], np.diff(runs)), np.repeat(ends[1:], np.diff(ends))
+            total = np.append(0, np.cumsum(upto - behind))
+            found, start = [np.zeros((2, 0), np.int64)], 0
+            while start < len(rep):
+                end = max(start + 1, int(np.searchsorted(total, total[start] + (1 << 20), side="right")) - 1)
+                many = (upto - behind)[start:end]
+                i = np.repeat(np.arange(start, end), many)
+                j = np.repeat(behind[start:end] - (np.cumsum(many) - many), many) + np.arange(len(i))
+                least = share * (n[i] + n[j]) - 1e-6
+                good = (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= least)
+                i, j, least = i[good], j[good], least[good]
+                good = np.bitwise_count(bits[i] ^ bits[j]).sum(1) <= n[i] + n[j] - 2 * least
+                i, j = i[good], j[good]
+                found.append(np.unique(np.stack([np.maximum(rep[i], rep[j]), np.minimum(rep[i], rep[j])]), axis=1))
+                start = end
+                if sum(x.shape[1] for x in found) > 1 << 20 or start >= len(rep):
+                    a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+                    found = [np.zeros((2, 0), np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
@@ -263,14 +349,15 @@ def _verified(words: int, similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 15, tables: int = 160, bits: int = 18) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 15, tables: int = FIRST, bits: int = 18) -> DataFrame:
     """(key, component) of each row of docs (key long, text): rows of one component are copies, or linked by near copies.
 
     A link is a pair whose shingle sets have `similarity` of their union in common; texts of equal words are grouped
-    first. Candidates are pairs within `radius` bits that agree in one of `tables` choices of bits: under a choice each
-    fingerprint is paired with its four nearest and with the least id near it, so pairs do not grow with the square of a
-    group. Sketches thin them out, whole texts decide. After a first round of a few choices, the rest look for links between
-    the components found, since links within one add nothing. Texts of no words are not linked to any other text.
+    first. In a first round, candidates are pairs within `radius` bits that agree in one of `tables` choices of bits: under
+    a choice each fingerprint is paired with its four nearest and with the least id near it, and sketches thin them out.
+    That joins large groups cheaply and need not find all. The second round is exact: all pairs of two components that
+    share a shingle of their prefixes and that no bound rules out. Whole texts decide on every link. Texts of no words are
+    not linked to any other text.
     """
 
     def sifted(batches):
@@ -279,22 +366,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(near)
 
     rows = docs.select(F.col("key").alias("doc_id"), "text")
-    prints = written(rows.mapInArrow(_sketches(words), "doc_id long, t long, fp long, sketch binary"), "sketches")
+    prints = written(rows.mapInArrow(_sketches(words, _common(rows, words), similarity), PRINTS), "sketches")
     full = F.length("sketch") > 0
     heads = prints.where(full).groupBy("t", "fp").agg(F.min("doc_id").alias("rep"))
     sketch = prints.where(full).select(F.col("doc_id").alias("rep"), "sketch").groupBy("rep").agg(F.min("sketch").alias("sketch"))
     text = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
-    masks, links, reached = masks_for(radius, tables, bits), None, None
-    for part in (masks[:FIRST], masks[FIRST:]):
-        comp = heads.withColumn("comp", F.col("rep")) if reached is None else heads.join(reached, "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-        found = _keyed(comp, part, "comp").mapInArrow(_nearest(radius), "a long, b long").distinct()
-        pairs = found.join(sketch.toDF("a", "x"), "a").join(sketch.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(sifted, "a long, b long")
+
+    def verified(pairs):
         pairs = written(pairs, "pairs")
         new = pairs.join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_verified(words, similarity), "a long, b long")
-        new = written(new, "links")
-        links = new if links is None else links.union(new)
-        reached = components(links).withColumnRenamed("node", "rep")
-    classes = heads.join(reached, "rep", "left").select("t", "fp", F.coalesce("component", "rep").alias("component"))
+        return written(new, "links")
+
+    def joined_by(links):
+        return components(links).withColumnRenamed("node", "rep")
+
+    found = _keyed(heads.withColumn("comp", F.col("rep")), masks_for(radius, tables, bits), "comp").mapInArrow(_nearest(radius), "a long, b long").distinct()
+    links = verified(found.join(sketch.toDF("a", "x"), "a").join(sketch.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(sifted, "a long, b long"))
+    comp = heads.join(joined_by(links), "rep", "left").select("t", "fp", F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("comp"))
+    met = prints.where(full).join(comp, ["t", "fp", "doc_id"]).select(F.posexplode("prefix").alias("place", "token"), "comp", "n", F.col("doc_id").alias("rep"), "b0", "b1", "b2", "b3")
+    met = met.select("token", "comp", "place", "n", "rep", "b0", "b1", "b2", "b3").repartition("token").sortWithinPartitions("token", "comp")
+    links = links.union(verified(met.mapInArrow(_meeting(similarity), "a long, b long").where("a <> b").distinct()))
+    classes = heads.join(joined_by(links), "rep", "left").select("t", "fp", F.coalesce("component", "rep").alias("component"))
     return prints.join(classes, ["t", "fp"], "left").select(F.col("doc_id").alias("key"), F.when(full, F.col("component")).otherwise(F.col("doc_id")).alias("component"))
 
 

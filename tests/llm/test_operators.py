@@ -113,6 +113,20 @@ def test_near_duplicates(spark):
     assert simhash.drop_near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_in_a_group_of_one_template(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    template, rows = [word() for _ in range(330)], []
+    for k in range(0, 600, 2):
+        own = [word() for _ in range(70)]
+        rows += [(k, " ".join(template + own)), (k + 1, " ".join(template + own[:37] + [word() for _ in range(33)]))]
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
+    alike = lambda p, q: len(p & q) / len(p | q)
+    assert all(alike(sets[k], sets[k + 1]) >= 0.8 for k in range(0, 600, 2)) and alike(sets[0], sets[2]) < 0.75
+    got = {r.key: r.component for r in simhash.near_duplicates(spark.createDataFrame(rows, "key long, text string")).collect()}
+    assert got == {k: k // 2 * 2 for k in range(600)}
+
+
 # 3
 
 
