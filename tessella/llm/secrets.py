@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on the other long runs of key characters.
 
-A run of 20 or more of [A-Za-z0-9+/_=-] outside the patterns' spans is a candidate. Its encoding is inferred from its
+A run of [A-Za-z0-9+/_=-] is cut at every `=` that is not at its end (padding); a part of 20 or more outside the
+patterns' spans is a candidate. Its encoding is inferred from its
 characters (hex, base32, base64). Three tests ask whether its symbols are drawn at random from that alphabet: chi-squared
 uniformity over classes of symbols, runs above and below the middle, and serial correlation. Fisher's sum of their
 p-values is compared with what running text of the same length gives (simulated once with a fixed seed), which yields
@@ -31,6 +32,7 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "random")
 
 RUN, RATE, FLOOR = 20, 0.01, 1e-3
+PART = re.compile(rb"[^=]+(?:=+\Z)?")  #: what `=` divides in a run; `=` at its end is padding
 
 
 def _members(chars: str) -> np.ndarray:
@@ -168,7 +170,8 @@ def scan(rows: list[str]) -> list[tuple[list[tuple[str, int, int]], list[tuple[s
     runs: list[list] = [[] for _ in rows]
     s, e = runs_of(KEY[np.frombuffer(data, np.uint8)], RUN)
     for i, j, row in zip(s.tolist(), e.tolist(), (np.searchsorted(starts, s, side="right") - 1).tolist(), strict=True):
-        runs[row].append((i - int(starts[row]), j - int(starts[row]), data[i:j]))
+        i -= int(starts[row])
+        runs[row] += [(i + m.start(), i + m.end(), m[0]) for m in PART.finditer(encoded[row][i : j - int(starts[row])]) if len(m[0]) >= RUN]
     out = []
     for raw, own, more in zip(encoded, base, runs, strict=True):
         if not own and not more:

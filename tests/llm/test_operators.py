@@ -353,6 +353,19 @@ def test_secret_battery():
     assert not any(new for _, new in secrets.scan(words))
 
 
+def test_secret_battery_behind_names():
+    rng = random.Random(2)
+    made = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    for name, end in [("AWS_SECRET_ACCESS_KEY=", ""), ("sig=", ""), ("auth=", "=="), ("a=b=", "=")]:
+        keys = [made(40) + end for _ in range(200)]
+        found = [new for _, new in secrets.scan([f"see {name}{k} ok" for k in keys])]
+        want = [("random", 4 + len(name), 4 + len(name) + len(k)) for k in keys]
+        assert sum(w in new for w, new in zip(want, found, strict=True)) >= 170
+        assert sum(any(s < 4 + len(name) for _, s, _ in new) for new in found) <= 2
+    assert secrets.redact("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENGbPxRfiCYzQ8vLd03hTn") == "AWS_SECRET_ACCESS_KEY=[SECRET]"
+    assert not any(new for _, new in secrets.scan(["some_long_option_name=some-long-hyphenated-slug-with-words", "=" * 40, "a=" * 30]))
+
+
 def test_secret_frames(spark):
     rows = [*ODD, (1, "x token = abcdefgh y")]
     out = secrets.scan_documents(frame(spark, rows)).collect()
