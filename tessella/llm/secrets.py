@@ -26,7 +26,8 @@ from .common import read, texts
 # The patterns of the base scan.
 WORDS = rb"(?:password|passwd|secret|token|api_?key)"
 ASSIGN = re.compile(WORDS + rb"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
-NAME_END = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*\Z", re.I)
+NAME_END = re.compile(WORDS + rb"\Z", re.I)
+LONGEST = len("password")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "random")
@@ -145,10 +146,12 @@ def spans_of(data: bytes) -> list[tuple[int, int, str]]:
     for at in np.flatnonzero((a == ord(":")) | (a == ord("="))).tolist():
         if at < upto:
             continue
-        back = max(upto, at - 64)
-        while back > upto and data[back : back + 1] == b" " and not data[back:at].strip(b" "):
-            back = max(upto, back - 64)  # more spaces than the window holds
-        if (name := NAME_END.search(data, back, at)) and (m := ASSIGN.match(data, name.start())):
+        end = at
+        while end > upto and (spaces := end - max(upto, end - 64) - len(data[max(upto, end - 64) : end].rstrip(b" "))):
+            end -= spaces
+        if end > upto and data[end - 1] in b"\"'":
+            end -= 1
+        if (name := NAME_END.search(data, max(upto, end - LONGEST), end)) and (m := ASSIGN.match(data, name.start())):
             upto = m.end()
             if len(m[1]) >= LEAST["assign"]:
                 out.append((m.start(), m.end(), "assign"))

@@ -345,6 +345,13 @@ def test_secret_patterns():
         assert base == plain_spans(t)
 
 
+def test_secret_names_before_any_number_of_spaces():
+    names = ["password", "passwd", "Secret", "token", "api_key", "apikey"]
+    texts = [f"x {w}{q}{' ' * n}= abcdefgh" for w in names for q in ("", '"', "'", '""') for n in (*range(45, 140), 1000)]
+    for t, (base, _) in zip(texts, secrets.scan(texts), strict=True):
+        assert base == plain_spans(t)
+
+
 def test_secret_battery():
     rng = random.Random(1)
     keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(40)) for _ in range(200)]
