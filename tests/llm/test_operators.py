@@ -289,6 +289,20 @@ def test_urls(spark):
     assert urls.filter_urls(df.where("false")).count() == 0
 
 
+def test_urls_of_many_tokens_and_rare_blocks(spark):
+    word = lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:05d}")
+    deep = lambda k: "/".join(word(100 * k + i) for i in range(14))
+    long = "s" * 40
+    rows = [(k, f"http://casino-{word(k)}.example.org/{deep(k)}/{long}bad") for k in range(30)]
+    rows += [(100 + k, f"http://good.example.org/{deep(200 + k)}/{long}good") for k in range(60)]
+    rows += [(200 + k, f"http://w{word(k)}.example.org/x") for k in range(20_000)]
+    rows += [(50_000, f"http://new.example.org/{deep(900)}/{long}bad")]
+    verdict = {r.page_id: r.verdict for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    # 30 of 31 urls of the long segment are blocked; 30 of 20,091 urls are under a share of 0.002
+    assert {k for k, v in verdict.items() if v == "block"} == {*range(30), 50_000}
+    assert len(urls.tokens_of("a.b", "/".join(word(k) for k in range(50)))) == 52
+
+
 # 9
 
 
