@@ -109,12 +109,11 @@ def _slot(word: str, size: int) -> int:
 def vectors(blocks: list) -> np.ndarray:
     out = np.zeros((len(blocks), PATH + WORDS + SHARES), np.float32)
     for k, (text, path, linked) in enumerate(blocks):
-        for token in path[:64]:
+        for token in path:
             out[k, _slot(token, PATH)] = 1
         leaf = path[-1] if path else ""
         out[k, _slot("leaf " + leaf, PATH)] = 1
-        words = text[:2000].lower().split()
-        for w in words[:200]:
+        for w in text.lower().split():
             out[k, PATH + _slot(w, WORDS)] += 1
         out[k, PATH : PATH + WORDS] = np.log1p(out[k, PATH : PATH + WORDS]) / 3
         n = len(text)

@@ -225,6 +225,15 @@ def test_html_on_pages_of_the_generator():
     assert wrong / sum(map(len, ys)) < 0.02
 
 
+def test_html_vectors_see_whole_blocks():
+    words = [f"w{k}" for k in range(400)]
+    path = tuple(f".c{k}" for k in range(80))
+    texts = [" ".join([*words, w]) for w in ("one", "two", "three", "four")]
+    assert len({html.vectors([(t, path, 0)])[0, html.PATH : html.PATH + html.WORDS].tobytes() for t in texts}) > 1
+    paths = [(*path, mark, "p") for mark in (".comment", ".advert", ".story", ".menu")]
+    assert len({html.vectors([("text", p, 0)])[0, : html.PATH].tobytes() for p in paths}) > 1
+
+
 # 7
 
 
