@@ -475,6 +475,18 @@ def farthest_node(spark, sf):
     return graph.farthest(inside.select("src", "dst"), spark.range(1).select(F.col("id").alias("vid")))
 
 
+@query()
+def bfs_distance_all(spark, sf):
+    """As bfs_distance, over the whole mesh; it has no SQL."""
+    return graph.bfs(written(tri_mesh(spark, sf).edges), spark.range(1).select(F.col("id").alias("vid")))
+
+
+@query()
+def farthest_node_all(spark, sf):
+    """As farthest_node, over the whole mesh."""
+    return graph.farthest(written(tri_mesh(spark, sf).edges), spark.range(1).select(F.col("id").alias("vid")))
+
+
 DIST = TRI_SQL + ", ins AS (SELECT a.agg_id, src, dst FROM edges JOIN patches a ON a.vid = src JOIN patches b ON b.vid = dst AND a.agg_id = b.agg_id), d0 AS (SELECT agg_id, vid AS s, vid AS t, 0 AS d FROM patches)" + "".join(f", d{k} AS (SELECT agg_id, s, t, min(d) AS d FROM (SELECT * FROM d{k - 1} UNION ALL SELECT x.agg_id, s, dst, d + 1 FROM d{k - 1} x JOIN ins ON src = t) GROUP BY 1, 2, 3)" for k in range(1, 8))
 
 

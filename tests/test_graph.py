@@ -87,3 +87,22 @@ def test_components_of_chains(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(0, 40) if k % 10 != 9] + [(None, 3)], "a long, b long")
     got = {r.node: r.component for r in graph.components(edges).collect()}
     assert got == {k: k // 10 * 10 for k in range(40)} | {40: 40} if 40 in got else got == {k: k // 10 * 10 for k in range(40)}
+
+
+def test_whole_mesh_distances(spark):
+    from tessella import queries
+    from tessella.tables import tri_mesh
+    from tests.conftest import DATA
+
+    sf = f"{DATA}/sf0.001"
+    near = {}
+    for r in tri_mesh(spark, sf).edges.select("src", "dst").collect():
+        near.setdefault(r.src, []).append(r.dst)
+    dist, ring = {0: 0}, [0]
+    while ring:
+        d, ring = dist[ring[0]] + 1, sorted({x for u in ring for x in near[u]} - dist.keys())
+        dist |= dict.fromkeys(ring, d)
+    assert max(dist.values()) > 6
+    assert {r.vid: r.dist for r in queries.QUERIES["bfs_distance_all"](spark, sf).collect()} == dist
+    far = queries.QUERIES["farthest_node_all"](spark, sf).first()
+    assert (far.vid, far.dist) == (min(v for v in dist if dist[v] == max(dist.values())), max(dist.values()))
