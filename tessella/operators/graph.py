@@ -8,7 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import written
+from ..plans.lineage import discard, written
+
+
+FOLD = 16  #: rings of a search that are tables of their own at a time
 
 
 def valences(edges: DataFrame) -> DataFrame:
@@ -58,12 +61,9 @@ def part_sizes(labels: DataFrame, weights: DataFrame | None = None) -> DataFrame
 
 
 def size_stats(sizes: DataFrame, column: str = "size") -> DataFrame:
-    """Least, greatest, mean, lower median and population deviation.
-
-    The median comes from the counts of each value, of which there are few, so no task sorts all rows.
-    """
+    """Least, greatest, mean, lower median and population deviation; the median from running counts of the distinct values."""
     counts = sizes.groupBy(F.col(column).alias("s")).agg(F.count(F.lit(1)).alias("c"))
-    upto = counts.select("s", F.sum("c").over(Window.orderBy("s")).alias("upto"))  # one row for each distinct size
+    upto = running_sum(counts, ["s"], "c", "upto")
     n = sizes.agg(F.count(F.lit(1)).alias("n"), F.min(column).cast("long").alias("min_size"), F.max(column).cast("long").alias("max_size"), F.avg(column).alias("mean_size"), F.stddev_pop(column).alias("std_size"))
     median = upto.crossJoin(F.broadcast(n.select("n"))).where(F.col("upto") > F.floor((F.col("n") - 1) / 2)).agg(F.min("s").cast("long").alias("median_size"))
     return n.crossJoin(median).select("min_size", "max_size", "mean_size", "median_size", "std_size")
@@ -171,26 +171,83 @@ def split_parts(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def bfs(edges: DataFrame, sources: DataFrame, depth: int = 1 << 30) -> DataFrame:
-    """(vid, dist) of what sources (vid) reach in at most `depth` steps; one round of the frontier a step."""
-    reached = frontier = written(sources.select("vid", F.lit(0).alias("dist")).distinct(), "bfs")
+    """(vid, dist) of what sources (vid) reach in at most `depth` steps."""
+    return bfs_from(edges, sources, depth)
+
+
+def bfs_from(edges: DataFrame, sources: DataFrame, depth: int = 1 << 30) -> DataFrame:
+    """The same; a step reads the edges of the last ring only, and its ends are held against the two rings before.
+
+    That is enough where edges go both ways, as in all graphs here. Every FOLD rings are put in one table.
+    """
+    frontier = written(sources.select("vid", F.lit(0).alias("dist")).distinct(), "ring")
+    rings, before = [frontier], frontier.where("false")
     for d in range(1, depth + 1):
         step = edges.join(frontier.select(F.col("vid").alias("src")), "src").select(F.col("dst").alias("vid")).distinct()
-        frontier = written(step.join(reached, "vid", "left_anti").select("vid", F.lit(d).alias("dist")), "bfs")
-        if frontier.isEmpty():
+        old = frontier.select("vid").union(before.select("vid"))
+        ring = written(step.join(old, "vid", "left_anti").select("vid", F.lit(d).alias("dist")), "ring")
+        if ring.isEmpty():
             break
-        reached = reached.union(frontier)
-    return reached
+        before, frontier = frontier, ring
+        rings.append(ring)
+        if len(rings) > FOLD:
+            held = rings[:-2]
+            rings = [written(_union(held), "reached"), *rings[-2:]]
+            for x in held:
+                discard(x)
+    return _union(rings)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out
 
 
 def ball_violations(edges: DataFrame, vertices: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
-    """Whether chosen (vid) is a set of distance over k that reaches all within k: counts of too_near and too_far."""
-    others = edges.join(chosen.select(F.col("vid").alias("src")), "src").select(F.col("src").alias("root"), F.col("dst").alias("vid"))
-    near = others
-    for _ in range(k - 1):
-        near = near.union(near.join(edges.withColumnRenamed("src", "vid"), "vid").select("root", F.col("dst").alias("vid"))).distinct()
-    pairs = near.where("root <> vid").join(chosen, "vid", "left_semi").agg(F.count(F.lit(1)).alias("too_near"))
-    far = vertices.select("vid").join(bfs(edges, chosen, k).select("vid"), "vid", "left_anti").agg(F.count(F.lit(1)).alias("too_far"))
-    return pairs.crossJoin(far)
+    """Whether chosen (vid) is a set of distance over k that reaches all within k: counts of too_near and too_far.
+
+    too_near counts the chosen with another one within k. For that each vertex hears, step by step, of the two greatest
+    chosen around it; no pairs are made.
+    """
+    heard = chosen.select("vid", F.col("vid").alias("root"))
+    for _ in range(k):
+        spread = edges.join(heard.select(F.col("vid").alias("src"), "root"), "src").select(F.col("dst").alias("vid"), "root")
+        heard = heard.union(spread).groupBy("vid").agg(F.slice(F.sort_array(F.collect_set("root"), False), 1, 2).alias("two")).select("vid", F.explode("two").alias("root"))
+    near = heard.where("root <> vid").join(chosen, "vid", "left_semi").agg(F.count_distinct("vid").alias("too_near"))
+    far = vertices.select("vid").join(heard.select("vid").distinct(), "vid", "left_anti").agg(F.count(F.lit(1)).alias("too_far"))
+    return near.crossJoin(far)
+
+
+def label_flags(edges: DataFrame, vertices: DataFrame, labels: DataFrame, least: int = 1, most: int = 1 << 62) -> DataFrame:
+    """(vid, assigned, connected, fits) for each vertex: it has one label, its part is in one piece, and of least..most vertices."""
+    pieces = split_parts(edges, labels).withColumnRenamed("agg_id", "piece")
+    parts = labels.join(pieces, "vid").groupBy("agg_id").agg(F.min("piece").alias("low"), F.max("piece").alias("high"), F.count(F.lit(1)).alias("size"))
+    own = labels.groupBy("vid").agg(F.count(F.lit(1)).alias("n"), F.min("agg_id").alias("agg_id"))
+    rows = vertices.select("vid").join(own, "vid", "left").join(parts, "agg_id", "left")
+    good = lambda c: F.coalesce(c, F.lit(False))
+    return rows.select("vid", good(F.col("n") == 1).alias("assigned"), good(F.col("low") == F.col("high")).alias("connected"), good(F.col("size").between(least, most)).alias("fits"))
+
+
+def label_violations(edges: DataFrame, vertices: DataFrame, labels: DataFrame, least: int = 1, most: int = 1 << 62) -> DataFrame:
+    """One row: parts, whether their ids are 0, 1, ..., and the vertices without (one) label, in parts in pieces, and in
+    parts outside least..most."""
+    flags = label_flags(edges, vertices, labels, least, most)
+    bad = flags.agg(*[F.count(F.when(~F.col(c), 1)).alias(n) for c, n in (("assigned", "unassigned"), ("connected", "in_pieces"), ("fits", "outsized"))])
+    ids = labels.agg(F.count_distinct("agg_id").alias("n_parts"), F.min("agg_id").alias("low"), F.max("agg_id").alias("high"))
+    dense = F.coalesce((F.col("low") == 0) & (F.col("high") + 1 == F.col("n_parts")), F.lit(True))
+    return ids.select("n_parts", dense.alias("dense")).crossJoin(bad)
+
+
+def validate_labels(edges: DataFrame, vertices: DataFrame, labels: DataFrame) -> None:
+    """Raises ValueError unless every vertex has one label, ids are 0, 1, ... and parts are connected."""
+    found = label_violations(edges, vertices, labels).first()
+    if not found["dense"]:
+        raise ValueError("labels are not dense")
+    for k in ("unassigned", "in_pieces"):
+        if found[k]:
+            raise ValueError(f"{found[k]} vertices {k.replace('_', ' ')}")
 
 
 def part_distances(edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,259 +1,263 @@
 """Smoothed-aggregation multigrid, alone or as the preconditioner of conjugate gradients.
 
-Matrices stay distributed down to `local_size` rows; from there a level is small enough (its rows are bounded) for the
-driver, as the coarsest level is in any multigrid. Each distributed vector is a written table, so plans stay short.
+A matrix of any size takes one way: its levels are tables down to `top_size` rows, where a dense solve ends the cycle on the
+driver. Vectors are written tables, so plans stay short. Smoothing works inside blocks: the residual comes from one
+distributed product, then all sweeps of a block run in one task without a further shuffle.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import sparse
-from ..operators.aggregation import aggregate
-from .lineage import written
+from ..operators import aggregation, sparse
+from ..operators.graph import induced, permutation
+from .lineage import discard, written
+
+DENSE = 4096  #: most rows of a dense solve
 
 
 @dataclass(frozen=True)
 class SolverOptions:
     max_levels: int = 100
-    top_size: int = 256
+    top_size: int = 256  #: a level of no more rows is solved directly
     max_iters: int = 100
     tolerance: float = 1e-6
-    relative: bool = True
-    gamma: int = 1  #: visits of the coarser level: 1 is a V-cycle, 2 a W-cycle
+    relative: bool = True  #: to the norm of the right-hand side
     solver: str = "pcg"  #: or "amg"
+    cycle: str = "V"  #: V, W, F, or K (two steps of conjugate gradients on each coarser level)
     pre_sweeps: int = 5
     post_sweeps: int = 5
+    post_relaxes: int = 1  #: residuals that the post-smoother takes, each followed by post_sweeps
     smoother_weight: float = 0.67
-    omega: float = 0.67
-    depth: int = 2  #: distance of the aggregates' roots
-    least: int = 2
-    local_size: int = 4096
+    omega: float = 0.67  #: of the prolongator
+    aggregator: str = "mis"  #: mis, partition or conditioned, see parts_of
+    depth: int = 2  #: distance of the parts' roots
+    block_depth: int = 1  #: distance of the blocks' roots, in parts
+    least: int = 2  #: vertices of a part
+    most: int = 512  #: vertices of a block
 
 
 @dataclass
-class Local:
-    """A matrix on the driver as sorted triples."""
-
+class Level:
+    a: DataFrame  #: i, j, v and, but for the last level, block (of i) and inside (whether j is in it)
+    p: DataFrame | None
     n: int
-    i: np.ndarray
-    j: np.ndarray
-    v: np.ndarray
-    diag: np.ndarray = field(init=False)
-
-    def __post_init__(self):
-        self.diag = np.zeros(self.n)
-        on = self.i == self.j
-        np.add.at(self.diag, self.i[on], self.v[on])
-
-    def __matmul__(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.i, self.v * x[self.j], self.n)
-
-    def dense(self) -> np.ndarray:
-        out = np.zeros((self.n, self.n))
-        np.add.at(out, (self.i, self.j), self.v)
-        return out
 
 
 @dataclass
-class Level:
-    a: DataFrame
-    p: DataFrame | None
-    n: int
+class Solution:
+    x: DataFrame
+    residual: float
+    iterations: int
+    converged: bool
+
+
+class NotConvergedError(ArithmeticError):
+    """The tolerance was not reached; `solution` is what there is."""
+
+    def __init__(self, solution: Solution):
+        super().__init__(f"residual {solution.residual:.3g} after {solution.iterations} iterations")
+        self.solution = solution
 
 
 def size_of(a: DataFrame) -> int:
-    n = a.agg(F.count_distinct("i")).first()[0]
+    n = a.where("i = j").count()
     if not n:
-        raise ValueError("the matrix is empty")
+        raise ValueError("the matrix is empty or has no diagonal")
     return n
 
 
-def local_matrix(a: DataFrame) -> tuple[Local, np.ndarray]:
-    """The matrix on the driver, and the ids of its rows."""
+def dense(a: DataFrame, most: int = DENSE) -> tuple[np.ndarray, np.ndarray]:
+    """The matrix on the driver, and the ids of its rows; more than `most` rows are an error."""
+    n = size_of(a)
+    if n > most:
+        raise ValueError(f"{n} rows are too many for a dense solve, the most is {most}")
     rows = a.select("i", "j", "v").toPandas()
     ids = np.unique(rows["i"].to_numpy())
-    return Local(len(ids), np.searchsorted(ids, rows["i"]), np.searchsorted(ids, rows["j"]), rows["v"].to_numpy(float)), ids
+    out = np.zeros((len(ids), len(ids)))
+    np.add.at(out, (np.searchsorted(ids, rows["i"]), np.searchsorted(ids, rows["j"])), rows["v"].to_numpy(float))
+    return out, ids
 
 
-def local_vector(x: DataFrame, ids: np.ndarray) -> np.ndarray:
-    rows, out = x.select("i", "v").toPandas(), np.zeros(len(ids))
-    out[np.searchsorted(ids, rows["i"])] = rows["v"]
-    return out
+def dense_solve(matrix: np.ndarray, ids: np.ndarray, b: DataFrame) -> DataFrame:
+    rows, right = b.select("i", "v").toPandas(), np.zeros(len(ids))  # no more rows than ids
+    right[np.searchsorted(ids, rows["i"])] = rows["v"]
+    x = np.linalg.solve(matrix, right)
+    return b.sparkSession.createDataFrame(list(zip(map(int, ids), map(float, x), strict=True)), "i long, v double")
 
 
-def to_frame(x: np.ndarray, ids: np.ndarray, like: DataFrame) -> DataFrame:
-    return like.sparkSession.createDataFrame(list(zip(map(int, ids), map(float, x), strict=True)), "i long, v double")
+def direct(a: DataFrame, b: DataFrame, most: int = DENSE) -> DataFrame:
+    """Dense LU on the driver; a matrix of more than `most` rows is an error."""
+    return dense_solve(*dense(a, most), b)
+
+
+def parts_of(edges: DataFrame, vertices: DataFrame, opts: SolverOptions) -> DataFrame:
+    """(vid, agg_id, block_id, new_id) by the aggregator: parts around a distance set and weighted parts of these (mis), the
+    same with blocks from the partitioner (partition), or with merged and split parts and blocks (conditioned)."""
+    if opts.aggregator == "mis":
+        return aggregation.two_levels(edges, vertices, opts.depth, opts.block_depth, opts.least, opts.most)
+    if opts.aggregator not in ("partition", "conditioned"):
+        raise ValueError(f"unknown aggregator: {opts.aggregator}")
+    fine = aggregation.aggregate(edges, vertices, opts.depth, opts.least)
+    if opts.aggregator == "conditioned":
+        fine = aggregation.condition(edges, fine, max(opts.least, 4), 16 * max(1, opts.depth))
+    fine = written(fine, "fine")
+    between = written(induced(edges, fine).select("src", "dst"), "coarse")
+    over = fine.select(F.col("agg_id").alias("vid")).distinct()
+    size = max(1, opts.most // (16 * max(1, opts.depth)))
+    blocks = aggregation.partition(between, over, size) if opts.aggregator == "partition" else aggregation.condition(between, aggregation.aggregate(between, over, opts.block_depth), max(1, size // 2), 2 * size)
+    return permutation(fine, blocks.select(F.col("vid").alias("agg_id"), F.col("agg_id").alias("block_id")))
 
 
 def setup(a: DataFrame, opts: SolverOptions) -> list[Level]:
     """Levels from the finest on; the last has no prolongator."""
     levels, a = [], written(a.select("i", "j", "v"), "level")
     n = size_of(a)
-    while n > max(opts.local_size, opts.top_size) and len(levels) + 1 < opts.max_levels:
+    while n > opts.top_size and len(levels) + 1 < opts.max_levels:
         edges = written(a.where("i <> j").select(F.col("i").alias("src"), F.col("j").alias("dst")).distinct(), "edges")
-        agg = aggregate(edges, a.where("i = j").select(F.col("i").alias("vid")), opts.depth, opts.least)
-        p = written(sparse.smoothed_prolongator(a, agg, opts.omega), "p")
+        parts = written(parts_of(edges, a.where("i = j").select(F.col("i").alias("vid")), opts), "parts")
+        p = written(sparse.smoothed_prolongator(a, parts.select("vid", "agg_id"), opts.omega), "p")
         coarse = written(sparse.galerkin(a, p), "level")
         m = size_of(coarse)
         if m >= n:
             break
-        levels.append(Level(a, p, n))
+        sides = sparse.block_split(a, parts, symmetric=False).select("i", "j", "v", "block", (F.col("side") != "outside").alias("inside"))
+        levels.append(Level(written(sides, "sides", a), p, n))
+        discard(edges)
         a, n = coarse, m
     return [*levels, Level(a, None, n)]
 
 
-def local_levels(a: Local, opts: SolverOptions) -> list[tuple[Local, Local | None]]:
-    """The same on the driver: greedy parts of a root and its free neighbours, or a dense solve when small."""
-    out = []
-    while a.n > opts.top_size and len(out) + 1 < opts.max_levels:
-        order = np.lexsort((a.j, a.i))
-        starts = np.searchsorted(a.i[order], np.arange(a.n + 1))
-        near = [a.j[order][starts[k] : starts[k + 1]] for k in range(a.n)]
-        part = np.full(a.n, -1)
-        m = 0
-        for k in range(a.n):
-            if (part[near[k]] < 0).all() and part[k] < 0:
-                part[near[k]] = part[k] = m
-                m += 1
-        for k in range(a.n):
-            if part[k] < 0:
-                beside = part[near[k]]
-                beside = beside[beside >= 0]
-                if len(beside):
-                    part[k] = beside[0]
-                else:
-                    part[k], m = m, m + 1
-        if m >= a.n:
-            break
-        i, j, v = np.concatenate([a.i, np.arange(a.n)]), np.concatenate([part[a.j], part]), np.concatenate([-opts.omega * a.v / a.diag[a.i], np.ones(a.n)])
-        key, at = np.unique(i * m + j, return_inverse=True)
-        p = Local.__new__(Local)
-        p.n, p.i, p.j, p.v, p.diag = a.n, key // m, key % m, np.bincount(at, v), np.zeros(0)
-        dense = np.zeros((a.n, m))
-        dense[p.i, p.j] = p.v
-        ap = np.zeros((a.n, m))
-        np.add.at(ap, a.i, a.v[:, None] * dense[a.j])
-        coarse = dense.T @ ap
-        ci, cj = np.nonzero(coarse)
-        out.append((a, p))
-        a = Local(m, ci, cj, coarse[ci, cj])
-    return [*out, (a, None)]
-
-
-def local_cycle(levels: list, b: np.ndarray, opts: SolverOptions) -> np.ndarray:
-    a, p = levels[0]
-    if p is None:
-        return np.linalg.solve(a.dense(), b) if a.n <= 4096 else local_smooth(a, b, np.zeros(a.n), 50, opts)
-    x = local_smooth(a, b, np.zeros(a.n), opts.pre_sweeps, opts)
-    for _ in range(opts.gamma):
-        r = b - a @ x
-        coarse = local_cycle(levels[1:], np.bincount(p.j, p.v * r[p.i], levels[1][0].n), opts)
-        x = x + np.bincount(p.i, p.v * coarse[p.j], a.n)
-    return local_smooth(a, b, x, opts.post_sweeps, opts)
-
-
-def local_smooth(a: Local, b: np.ndarray, x: np.ndarray, sweeps: int, opts: SolverOptions) -> np.ndarray:
-    for _ in range(sweeps):
-        x = x + opts.smoother_weight * (b - a @ x) / a.diag
-    return x
+def in_block_sweeps(a: DataFrame, r: DataFrame, weight: float, sweeps: int) -> DataFrame:
+    """(i, v): Jacobi sweeps from zero for the right-hand side r (i, v) with the entries of a (Level.a) inside blocks.
+
+    A block is one group of a worker; blocks have at most SolverOptions.most vertices.
+    """
+    blocks = a.where("i = j").select(F.col("i").alias("row"), F.col("block").alias("part"))
+    inside = a.where("inside").select("block", "i", "j", "v")
+
+    def smooth(m: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("row")
+        ids, b, n = right["row"].to_numpy(), right["b"].to_numpy(), len(right)
+        i, j, v = np.searchsorted(ids, m["i"]), np.searchsorted(ids, m["j"]), m["v"].to_numpy()
+        diagonal = np.bincount(i[i == j], v[i == j], n)
+        x = np.zeros(n)
+        for _ in range(sweeps):
+            x += weight * (b - np.bincount(i, v * x[j], n)) / diagonal
+        return pd.DataFrame({"i": ids, "v": x})
+
+    every = blocks.join(r.select(F.col("i").alias("row"), F.col("v").alias("b")), "row", "left").select("part", "row", F.coalesce("b", F.lit(0.0)).alias("b"))
+    return inside.groupBy("block").cogroup(every.groupBy("part")).applyInPandas(smooth, "i long, v double")
 
 
 class Multigrid:
-    """Levels of a matrix and its cycle."""
+    """Levels of a matrix and their cycle."""
 
     def __init__(self, a: DataFrame, opts: SolverOptions = SolverOptions()):
+        if opts.cycle not in ("V", "W", "F", "K"):
+            raise ValueError(f"unknown cycle: {opts.cycle}")
         self.opts, self.levels = opts, setup(a, opts)
-        local, self.ids = local_matrix(self.levels[-1].a)
-        self.local = local_levels(local, opts)
+        self.dense = dense(self.levels[-1].a)
+
+    def relax(self, at: int, b: DataFrame, x: DataFrame | None, sweeps: int) -> DataFrame:
+        """x, or zero, with the sweeps for its residual added."""
+        a = self.levels[at].a
+        step = in_block_sweeps(a, b if x is None else sparse.residual(b, a, x), self.opts.smoother_weight, sweeps)
+        return written(step if x is None else sparse.axpby(1.0, x, 1.0, step), "x", x)
 
-    def cycle(self, b: DataFrame, at: int = 0) -> DataFrame:
+    def cycle(self, b: DataFrame, at: int = 0, kind: str | None = None) -> DataFrame:
         """An approximate solution of A x = b from zero."""
-        level, o = self.levels[at], self.opts
+        level, o, kind = self.levels[at], self.opts, kind or self.opts.cycle
         if level.p is None:
-            return to_frame(local_cycle(self.local, local_vector(b, self.ids), o), self.ids, b)
-        x = written(sparse.jacobi(level.a, b, None, o.smoother_weight, o.pre_sweeps), "x")
-        for _ in range(o.gamma):
+            return dense_solve(*self.dense, b)
+        x = self.relax(at, b, None, o.pre_sweeps)
+        for visit in {"V": "V", "W": "WW", "F": "FV", "K": "K"}[kind]:
             down = written(sparse.spmv(sparse.transpose(level.p), sparse.residual(b, level.a, x)), "r")
-            x = written(sparse.axpby(1.0, x, 1.0, sparse.spmv(level.p, self.cycle(down, at + 1))), "x")
-        return written(sparse.jacobi(level.a, b, x, o.smoother_weight, o.post_sweeps), "x")
+            if visit == "K" and self.levels[at + 1].p is not None:
+                low = self.descend(down, at + 1, None, 2, 0.0).x
+            else:
+                low = self.cycle(down, at + 1, visit)
+            x = written(sparse.axpby(1.0, x, 1.0, sparse.spmv(level.p, low)), "x", x)
+            discard(down)
+        for _ in range(o.post_relaxes):
+            x = self.relax(at, b, x, o.post_sweeps)
+        return x
+
+    def descend(self, b: DataFrame, at: int, x: DataFrame | None, iterations: int, limit: float) -> Solution:
+        """Flexible conjugate gradients on a level, with its cycle as preconditioner; solver "amg" adds up cycles alone."""
+        a, o = self.levels[at].a, self.opts
+        rows = a.where("i = j").select("i").join(b.select("i", F.col("v").alias("b")), "i", "left")
+        start = F.coalesce("x", F.lit(0.0)) if x is not None else F.lit(0.0)
+        rows = rows.join(x.select("i", F.col("v").alias("x")), "i", "left") if x is not None else rows
+        state = rows.select("i", start.alias("x"), F.coalesce("b", F.lit(0.0)).alias("b"))
+        first = state.select("i", F.col("x").alias("v"))
+        state = written(_beside(state, sparse.spmv(a, first), "y").select("i", "x", (F.col("b") - F.col("y")).alias("r")), "cg")
+        right = b.select("i", "v")
+        p, norm, done, before = None, _norm(state, "r"), 0, 0.0
+        while norm > limit and done < iterations:
+            r = state.select("i", F.col("r").alias("v"))
+            z = self.cycle(r, at)
+            if o.solver == "amg" and at == 0:
+                new = written(_beside(state, z, "z").select("i", (F.col("x") + F.col("z")).alias("x")), "x")
+                left = sparse.residual(right, a, new.select("i", F.col("x").alias("v")))
+                state = written(_beside(new, left, "r"), "cg", state)
+                discard(new)
+            else:
+                zs = _beside(state, z, "z")
+                rz, old = zs.agg(F.sum(F.col("r") * F.col("z")), F.sum(F.col("_r") * F.col("z")) if p is not None else F.lit(0.0)).first()
+                if not rz:
+                    break
+                new = z.select("i", "v") if p is None else sparse.axpby(1.0, z, (rz - old) / before, p)
+                p, before = written(new, "p", p), rz
+                q = written(_beside(_beside(state, p, "p"), sparse.spmv(a, p), "q").select("i", "x", "r", "p", "q"), "q")
+                step = rz / q.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
+                state = written(q.select("i", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("q")).alias("r"), F.col("r").alias("_r")), "cg", state)
+                discard(q)
+            discard(z)
+            norm, done = _norm(state, "r"), done + 1
+        return Solution(state.select("i", F.col("x").alias("v")), norm, done, norm <= limit)
 
     def stats(self) -> DataFrame:
-        """(level, n_rows, nnz, density) of the distributed levels."""
-        out = None
-        for k, level in enumerate(self.levels):
-            s = sparse.stats(level.a).select(F.lit(k).alias("level"), "n_rows", "nnz", "density")
-            out = s if out is None else out.union(s)
+        """(level, n_rows, nnz, density) of each level."""
+        parts = [sparse.stats(level.a).select(F.lit(k).alias("level"), "n_rows", "nnz", "density") for k, level in enumerate(self.levels)]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.union(part)
         return out
 
+    def complexity(self) -> DataFrame:
+        """One row (grid, operator): rows, and entries, of all levels for each one of the finest."""
+        s = self.stats()
+        top = s.where("level = 0").select(F.col("n_rows").alias("n0"), F.col("nnz").alias("z0"))
+        return s.agg(F.sum("n_rows").alias("n"), F.sum("nnz").alias("z")).crossJoin(top).select((F.col("n") / F.col("n0")).alias("grid"), (F.col("z") / F.col("z0")).alias("operator"))
 
-def _norm(x: DataFrame) -> float:
-    return float(sparse.norms(x).first()["norm2"] or 0.0)
 
+def _beside(rows: DataFrame, x: DataFrame, name: str) -> DataFrame:
+    """rows with the values of a vector, 0 where it has none."""
+    return rows.join(x.select("i", F.col("v").alias("_new")), "i", "left").select(*rows.columns, F.coalesce("_new", F.lit(0.0)).alias(name))
 
-def _dot(x: DataFrame, y: DataFrame) -> float:
-    return float(sparse.dot(x, y).first()["dot"])
 
+def _norm(rows: DataFrame, column: str) -> float:
+    return float(rows.agg(F.sqrt(F.sum(F.col(column) * F.col(column)))).first()[0] or 0.0)
 
-def solve(a: DataFrame, b: DataFrame, opts: SolverOptions = SolverOptions(), x: DataFrame | None = None) -> DataFrame:
-    """(i, v) with |b - A x| within the tolerance, relative to |b| unless opts say otherwise, or after max_iters."""
+
+def solution(a: DataFrame, b: DataFrame, opts: SolverOptions = SolverOptions(), x: DataFrame | None = None) -> Solution:
+    """The solution of A x = b with its residual and whether that is within the tolerance; x is where it starts."""
+    if opts.solver not in ("pcg", "amg"):
+        raise ValueError(f"unknown solver: {opts.solver}")
     grid = Multigrid(a, opts)
-    a = grid.levels[0].a
-    if len(grid.levels) == 1:
-        local, ids = grid.local[0][0], grid.ids
-        start = local_vector(x, ids) if x is not None else np.zeros(local.n)
-        return to_frame(_solve_local(local, grid.local, local_vector(b, ids), start, opts), ids, b)
     b = written(b.select("i", "v"), "b")
-    x = written(x.select("i", "v"), "x") if x is not None else written(b.select("i", F.lit(0.0).alias("v")), "x")
-    r = written(sparse.residual(b, a, x), "r")
-    limit = opts.tolerance * (_norm(b) if opts.relative else 1.0)
-    p, before = None, 0.0
-    for _ in range(opts.max_iters):
-        if _norm(r) <= limit:
-            break
-        z = grid.cycle(r)
-        if opts.solver == "amg":
-            x = written(sparse.axpby(1.0, x, 1.0, z), "x")
-            r = written(sparse.residual(b, a, x), "r")
-            continue
-        rz = _dot(r, z)
-        p = z if p is None else written(sparse.axpby(1.0, z, rz / before, p), "p")
-        before = rz
-        ap = written(sparse.spmv(a, p), "ap")
-        step = rz / _dot(p, ap)
-        x = written(sparse.axpby(1.0, x, step, p), "x")
-        r = written(sparse.axpby(1.0, r, -step, ap), "r")
-    return x
-
-
-def _solve_local(a: Local, levels: list, b: np.ndarray, x: np.ndarray, opts: SolverOptions) -> np.ndarray:
-    r, p, before = b - a @ x, None, 0.0
-    limit = opts.tolerance * (np.linalg.norm(b) if opts.relative else 1.0)
-    for _ in range(opts.max_iters):
-        if np.linalg.norm(r) <= limit:
-            break
-        z = local_cycle(levels, r, opts)
-        if opts.solver == "amg":
-            x = x + z
-            r = b - a @ x
-            continue
-        rz = float(r @ z)
-        p = z if p is None else z + rz / before * p
-        before = rz
-        ap = a @ p
-        step = rz / float(p @ ap)
-        x, r = x + step * p, r - step * ap
-    return x
-
-
-def direct(a: DataFrame, b: DataFrame, most: int = 4096) -> DataFrame:
-    """Dense LU on the driver; a matrix of more than `most` rows is an error."""
-    n = size_of(a)
-    if n > most:
-        raise ValueError(f"{n} rows are too many for a dense solve, the most is {most}")
-    local, ids = local_matrix(a)
-    return to_frame(np.linalg.solve(local.dense(), local_vector(b, ids)), ids, b)
+    return grid.descend(b, 0, x, opts.max_iters, opts.tolerance * (_norm(b, "v") if opts.relative else 1.0))
+
+
+def solve(a: DataFrame, b: DataFrame, opts: SolverOptions = SolverOptions(), x: DataFrame | None = None) -> DataFrame:
+    """(i, v) with |b - A x| within the tolerance; NotConvergedError if max_iters were not enough."""
+    found = solution(a, b, opts, x)
+    if not found.converged:
+        raise NotConvergedError(found)
+    return found.x

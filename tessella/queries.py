@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -336,44 +337,52 @@ def block_jacobi_sweep(spark, sf):
 
 
 def _system(spark, sf):
+    """The operator of the mesh and the right-hand side whose solution is p_size, for each vertex of a triangle."""
     m = tri_mesh(spark, sf)
     a = written(fem.operator_2d(m.cells, m.vertices))
-    return a, m.rhs.join(a.select("i").distinct(), "i")
+    x = m.part.select(F.col("p_partkey").alias("i"), F.col("p_size").cast("double").alias("v")).join(a.select("i").distinct(), "i")
+    return a, written(sparse.spmv(a, x))
 
 
-def _checked(a, b, x):
-    """The solution with the residual of each row, which is near zero."""
-    left = sparse.residual(b, a, x).select("i", F.col("v").alias("residual"))
-    return x.join(left, "i")
+SOLVER = multigrid.SolverOptions(tolerance=1e-9, top_size=64)
+SIZE = "SELECT p_partkey AS i, CAST(p_size AS DOUBLE) AS x FROM part WHERE p_partkey IN (SELECT src FROM edges)"
 
 
-@query()
-def amg_solve(spark, sf):
-    a, b = _system(spark, sf)
-    return _checked(a, b, multigrid.solve(a, b, multigrid.SolverOptions(solver="amg", max_iters=40)))
+def _rounded_solution(x):
+    return rounded(x.select("i", F.col("v").alias("x")), 1, "x")
 
 
-@query()
+@query(SIZE, TRI_SQL)
 def pcg_solve(spark, sf):
-    a, b = _system(spark, sf)
-    return _checked(a, b, multigrid.solve(a, b))
+    return _rounded_solution(multigrid.solve(*_system(spark, sf), SOLVER))
 
 
-@query()
+@query(SIZE, TRI_SQL)
+def amg_solve(spark, sf):
+    return _rounded_solution(multigrid.solve(*_system(spark, sf), replace(SOLVER, solver="amg")))
+
+
+@query("SELECT count(*) AS n_rows, TRUE AS shrinks, TRUE AS symmetric FROM (SELECT DISTINCT src FROM edges)", TRI_SQL)
 def vcycle(spark, sf):
+    """One V-cycle from zero: it halves the residual at least and is a symmetric operator, as conjugate gradients need."""
     a, b = _system(spark, sf)
-    return multigrid.Multigrid(a).cycle(b)
+    grid = multigrid.Multigrid(a, SOLVER)
+    c = written(b.select("i", (F.col("i") % 7 - 3.0).alias("v")))
+    x, y = grid.cycle(b), grid.cycle(c)
+    norm = lambda v, name: sparse.norms(v).select(F.col("norm2").alias(name))
+    dots = sparse.dot(x, c).select(F.col("dot").alias("p")).crossJoin(sparse.dot(b, y).select(F.col("dot").alias("q")))
+    rows = x.agg(F.count(F.lit(1)).alias("n_rows")).crossJoin(norm(sparse.residual(b, a, x), "left")).crossJoin(norm(b, "whole")).crossJoin(dots)
+    return rows.select("n_rows", (F.col("left") <= 0.5 * F.col("whole")).alias("shrinks"), (F.abs(F.col("p") - F.col("q")) <= 1e-6 * F.abs("p")).alias("symmetric"))
 
 
-@query()
+@query("SELECT DISTINCT agg_id AS i, CAST(agg_id % 97 AS DOUBLE) AS x FROM patches", TRI_SQL)
 def direct_solve(spark, sf):
     """Dense LU of the contracted system of the patches, whose rows are few."""
     m = tri_mesh(spark, sf)
     a = fem.operator_2d(m.cells, m.vertices)
-    p = sparse.smoothed_prolongator(a, m.patches)
-    coarse = written(sparse.galerkin(a, p))
-    b = sparse.spmv(sparse.transpose(p), m.rhs)
-    return _checked(coarse, b, multigrid.direct(coarse, b))
+    coarse = written(sparse.galerkin(a, sparse.smoothed_prolongator(a, m.patches)))
+    b = sparse.spmv(coarse, coarse.where("i = j").select("i", (F.col("i") % 97).cast("double").alias("v")))
+    return _rounded_solution(multigrid.direct(coarse, b))
 
 
 # Graphs --------------------------------------------------------------------------------------------------------------------
@@ -458,32 +467,22 @@ def subgraphs(spark, sf):
     return graph.subgraphs(m.edges, m.patches)
 
 
-BFS = "b0 AS (SELECT CAST(0 AS BIGINT) AS vid, 0 AS dist)" + "".join(f", b{k} AS (SELECT vid, min(dist) AS dist FROM (SELECT * FROM b{k - 1} UNION ALL SELECT dst, dist + 1 FROM b{k - 1} JOIN edges ON src = vid) GROUP BY vid)" for k in range(1, 7))
+BFS = """RECURSIVE """ + TRI_SQL.strip() + """, reached(round, vid, dist) AS (
+  SELECT 0, CAST(0 AS BIGINT), 0
+  UNION ALL (WITH now AS (SELECT * FROM reached), fresh AS (SELECT DISTINCT dst FROM now JOIN edges ON src = vid WHERE dst NOT IN (SELECT vid FROM now))
+    SELECT round + 1, vid, dist FROM now WHERE EXISTS (SELECT 1 FROM fresh)
+    UNION ALL SELECT (SELECT max(round) + 1 FROM now), dst, (SELECT max(round) + 1 FROM now) FROM fresh)),
+ bfs AS (SELECT vid, dist FROM reached WHERE round = (SELECT max(round) FROM reached))"""
 
 
-@query("SELECT vid, dist FROM b6", TRI_SQL + "," + BFS)
+@query("SELECT vid, dist FROM bfs", BFS)
 def bfs_distance(spark, sf):
-    return graph.bfs(written(tri_mesh(spark, sf).edges), spark.range(1).select(F.col("id").alias("vid")), 6)
-
-
-@query("SELECT -(max((dist, -vid))).y AS vid, (max((dist, -vid))).x AS dist FROM (SELECT vid, dist FROM b6)".replace("max((dist, -vid))", "max({'x': dist, 'y': -vid})"), TRI_SQL + "," + BFS)
-def farthest_node(spark, sf):
-    """The farthest of those within six steps of vertex 0."""
-    e = written(tri_mesh(spark, sf).edges)
-    ball = graph.bfs(e, spark.range(1).select(F.col("id").alias("vid")), 6)
-    inside = e.join(ball.select(F.col("vid").alias("src")), "src").join(ball.select(F.col("vid").alias("dst")), "dst")
-    return graph.farthest(inside.select("src", "dst"), spark.range(1).select(F.col("id").alias("vid")))
-
-
-@query()
-def bfs_distance_all(spark, sf):
-    """As bfs_distance, over the whole mesh; it has no SQL."""
+    """Steps from vertex 0 over the whole mesh."""
     return graph.bfs(written(tri_mesh(spark, sf).edges), spark.range(1).select(F.col("id").alias("vid")))
 
 
-@query()
-def farthest_node_all(spark, sf):
-    """As farthest_node, over the whole mesh."""
+@query("SELECT min(vid) AS vid, dist FROM bfs WHERE dist = (SELECT max(dist) FROM bfs) GROUP BY dist", BFS)
+def farthest_node(spark, sf):
     return graph.farthest(written(tri_mesh(spark, sf).edges), spark.range(1).select(F.col("id").alias("vid")))
 
 
@@ -502,7 +501,7 @@ def centroid(spark, sf):
     return graph.centroids(m.edges, m.patches)
 
 
-@query(", s AS (SELECT vid FROM vertices, c WHERE (vid // m) % 3 = 0 AND (vid % m) % 3 = 0), one AS (SELECT s.vid AS r, dst AS t FROM s JOIN edges ON src = s.vid), two AS (SELECT * FROM one UNION SELECT r, dst FROM one JOIN edges ON src = t) SELECT (SELECT count(*) FROM two WHERE r <> t AND t IN (SELECT vid FROM s)) AS too_near, (SELECT count(*) FROM vertices WHERE vid NOT IN (SELECT vid FROM s) AND vid NOT IN (SELECT t FROM two)) AS too_far", TRI_SQL)
+@query(", s AS (SELECT vid FROM vertices, c WHERE (vid // m) % 3 = 0 AND (vid % m) % 3 = 0), one AS (SELECT s.vid AS r, dst AS t FROM s JOIN edges ON src = s.vid), two AS (SELECT * FROM one UNION SELECT r, dst FROM one JOIN edges ON src = t) SELECT (SELECT count(DISTINCT t) FROM two WHERE r <> t AND t IN (SELECT vid FROM s)) AS too_near, (SELECT count(*) FROM vertices WHERE vid NOT IN (SELECT vid FROM s) AND vid NOT IN (SELECT t FROM two)) AS too_far", TRI_SQL)
 def k_hop_ball(spark, sf):
     m = tri_mesh(spark, sf)
     chosen = m.vertices.where((F.floor(F.col("vid") / m.m) % 3 == 0) & (F.col("vid") % m.m % 3 == 0)).select("vid")
@@ -514,14 +513,31 @@ def _linked(m):
     return e, e.select(F.col("src").alias("vid")).distinct()
 
 
-@query()
+PRIORITY = "(vid * 2654435761) % 4294967296"  #: scatters the ids; the same in SQL
+
+
+def _mis_sql(k):
+    """A maximal set of vertices more than k apart, in rounds: `chosen`; state is 0 open, 1 in, 2 out."""
+    near = "near AS (SELECT src AS a, dst AS b FROM edges)" if k == 1 else "near AS (SELECT src AS a, dst AS b FROM edges UNION SELECT x.src, y.dst FROM edges x JOIN edges y ON y.src = x.dst WHERE x.src <> y.dst)"
+    return f"""RECURSIVE {TRI_SQL.strip()}, {near}, mis(round, vid, p, state) AS (
+      SELECT 0, vid, {PRIORITY}, 0 FROM (SELECT DISTINCT src AS vid FROM edges)
+      UNION ALL (WITH now AS (SELECT * FROM mis), free AS (SELECT * FROM now WHERE state = 0),
+        lost AS (SELECT DISTINCT f.vid FROM free f JOIN near ON a = f.vid JOIN free g ON g.vid = b WHERE g.p > f.p OR g.p = f.p AND g.vid > f.vid),
+        fresh AS (SELECT vid FROM free WHERE vid NOT IN (SELECT vid FROM lost)),
+        gone AS (SELECT DISTINCT b AS vid FROM near JOIN fresh ON fresh.vid = a)
+        SELECT round + 1, vid, p, CASE WHEN vid IN (SELECT vid FROM fresh) THEN 1 WHEN state = 0 AND vid IN (SELECT vid FROM gone) THEN 2 ELSE state END
+        FROM now WHERE EXISTS (SELECT 1 FROM free))),
+    chosen AS (SELECT vid FROM mis WHERE state = 1 AND round = (SELECT max(round) FROM mis))"""
+
+
+@query("SELECT vid FROM chosen", _mis_sql(1))
 def mis_k1(spark, sf):
-    return G.independent_set(*_linked(tri_mesh(spark, sf)), 1)
+    return G.independent_set(*_linked(tri_mesh(spark, sf)), 1, F.expr(PRIORITY))
 
 
-@query()
+@query("SELECT vid FROM chosen", _mis_sql(2))
 def mis_k2(spark, sf):
-    return G.independent_set(*_linked(tri_mesh(spark, sf)), 2)
+    return G.independent_set(*_linked(tri_mesh(spark, sf)), 2, F.expr(PRIORITY))
 
 
 ROOTS = TRI_SQL + ", g0 AS (SELECT vid, vid AS agg_id FROM vertices, c WHERE (vid // m) % 3 = 0 AND (vid % m) % 3 = 0)" + "".join(f", g{k} AS (SELECT * FROM g{k - 1} UNION ALL SELECT src, arg_min(agg_id, dst) FROM edges JOIN g{k - 1} g ON g.vid = dst WHERE src NOT IN (SELECT vid FROM g{k - 1}) GROUP BY src)" for k in range(1, 5))
@@ -534,9 +550,26 @@ def nearest_root_agg(spark, sf):
     return G.from_roots(written(m.edges), roots)
 
 
-@query()
+GROWN = _mis_sql(2) + """, grown(round, vid, root) AS (
+  SELECT 0, vid, vid FROM chosen
+  UNION ALL (WITH now AS (SELECT * FROM grown), ring AS (SELECT src AS vid, arg_min(root, dst) AS root FROM edges JOIN now ON now.vid = dst WHERE src NOT IN (SELECT vid FROM now) GROUP BY src)
+    SELECT round + 1, vid, root FROM now WHERE EXISTS (SELECT 1 FROM ring)
+    UNION ALL SELECT (SELECT max(round) + 1 FROM now), vid, root FROM ring))"""
+
+
+@query("SELECT vid, dense_rank() OVER (ORDER BY root) - 1 AS agg_id FROM grown WHERE round = (SELECT max(round) FROM grown)", GROWN)
 def aggregate_parts(spark, sf):
-    return G.aggregate(*_linked(tri_mesh(spark, sf)), 2, 9)
+    return G.aggregate(*_linked(tri_mesh(spark, sf)), 2, priority=F.expr(PRIORITY))
+
+
+FLAGS = "SELECT DISTINCT src AS vid, TRUE AS assigned, TRUE AS connected, TRUE AS fits FROM edges"
+
+
+@query(FLAGS, TRI_SQL)
+def aggregate_without_runts(spark, sf):
+    """Parts of nine vertices at least; for each vertex whether it has a part, in one piece and of that size."""
+    e, v = _linked(tri_mesh(spark, sf))
+    return graph.label_flags(e, v, written(G.aggregate(e, v, 2, 9)), 9)
 
 
 @query(", e AS (SELECT vid, (vid // m) // 4 AS stripe, ((vid // m) // 4) % 2 AS agg_id FROM vertices, c WHERE vid IN (SELECT src FROM edges)), s AS (SELECT stripe, min(vid) AS low FROM e GROUP BY 1), k AS (SELECT stripe, row_number() OVER (ORDER BY low) - 1 AS id FROM s) SELECT vid, id AS agg_id FROM e JOIN k ON k.stripe = e.stripe", TRI_SQL)
@@ -547,29 +580,48 @@ def components_in_parts(spark, sf):
     return graph.split_parts(e, v.select("vid", (F.floor(F.floor(F.col("vid") / m.m) / 4) % 2).cast("long").alias("agg_id")))
 
 
-@query()
+@query("SELECT DISTINCT src AS vid, TRUE AS assigned, TRUE AS fits FROM edges", TRI_SQL)
 def restrict_part_size(spark, sf):
+    """From parts of 32 and 16 vertices to parts of 28 at most."""
     m = tri_mesh(spark, sf)
-    return G.restrict(written(m.edges), m.patches, 15, 10)
+    e, v = _linked(m)
+    row, col = F.floor(F.floor(F.col("vid") / m.m) / 4), F.floor(F.col("vid") % m.m / 4)
+    uneven = v.select("vid", (row * 1000 + col - F.when(col % 3 == 1, 1).otherwise(0)).cast("long").alias("agg_id"))
+    return graph.label_flags(e, v, written(G.restrict(e, uneven, 28)), 1, 28).drop("connected")
 
 
-@query()
+@query(FLAGS, TRI_SQL)
 def merge_split(spark, sf):
     m = tri_mesh(spark, sf)
     e, v = _linked(m)
-    return G.condition(e, m.patches.join(v, "vid"), 10, 24)
+    return graph.label_flags(e, v, written(G.condition(e, m.patches.join(v, "vid"), 10, 24)), 1, 24)
 
 
-@query()
+@query(FLAGS, TRI_SQL)
 def k_way_partition(spark, sf):
     e, v = _linked(tri_mesh(spark, sf))
-    return G.partition(e, v, 64)
+    return graph.label_flags(e, v, written(G.partition(e, v, 64)), 1, 96)
 
 
-@query()
+@query("SELECT DISTINCT src AS vid, TRUE AS assigned, TRUE AS connected, TRUE AS fits, TRUE AS in_order FROM edges", TRI_SQL)
 def two_level_partition(spark, sf):
+    """Parts of nine vertices at least in connected blocks of at most 512, and whether ids follow blocks and parts."""
     e, v = _linked(tri_mesh(spark, sf))
-    return G.two_levels(e, v)
+    out = written(G.two_levels(e, v))
+    flags = graph.label_flags(e, v, out.select("vid", F.col("block_id").alias("agg_id")), 9, 512)
+    spans = out.groupBy("block_id", "agg_id").agg(F.min("new_id").alias("low"), F.max("new_id").alias("high"), F.count(F.lit(1)).alias("n"))
+    good = spans.select("agg_id", (F.col("high") - F.col("low") + 1 == F.col("n")).alias("in_order"))
+    return flags.join(out.select("vid", "agg_id"), "vid").join(good, "agg_id").select("vid", "assigned", "connected", "fits", "in_order")
+
+
+@query("SELECT (SELECT count(DISTINCT agg_id) FROM patches) AS n_parts, FALSE AS dense, CAST(0 AS BIGINT) AS unassigned, (SELECT count(*) FROM patches WHERE vid NOT IN (SELECT src FROM edges) AND (SELECT count(*) FROM patches q WHERE q.agg_id = patches.agg_id) > 1) AS alone, (SELECT count(*) FROM patches WHERE (SELECT count(*) FROM patches q WHERE q.agg_id = patches.agg_id) < 16) AS outsized", TRI_SQL)
+def partition_valid(spark, sf):
+    """The violations of the patches: their ids have gaps, those at the border are small, and unlinked vertices are pieces."""
+    m = tri_mesh(spark, sf)
+    e = written(m.edges)
+    found = graph.label_violations(e, m.vertices, m.patches, 16)
+    alone = m.patches.join(e.select(F.col("src").alias("vid")).distinct(), "vid", "left_anti").join(graph.part_sizes(m.patches).where("size > 1"), "agg_id").agg(F.count(F.lit(1)).alias("alone"))
+    return found.drop("in_pieces").crossJoin(alone)
 
 
 # Scalar functions ------------------------------------------------------------------------------------------------------------

@@ -49,12 +49,17 @@ def read_nodes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_elements(spark: SparkSession, path: str) -> DataFrame:
-    """(cid, v0, v1, v2, v3, mat) of an element file, ids moved to start at 0; mat is 0 where the header announces no label."""
+    """(cid, v0, v1, v2, v3, mat) of an element file; mat is 0 where the header announces no label.
+
+    Ids count from 0 if any is 0, else from 1, or from 2 if none is below 2. So vertices that no element uses, at the start of
+    the node file, keep their places.
+    """
     head, body = _body(_lines(spark, path), "element", 5)
     label = F.get("f", F.lit(5)).cast("int") if len(head) > 2 and head[2] == "1" else F.lit(0)
     rows = body.select(F.col("row").alias("cid"), *[F.get("f", F.lit(k + 1)).cast("long").alias(f"v{k}") for k in range(4)], F.coalesce(label, F.lit(0)).alias("mat"))
     low = rows.agg(F.min(F.least("v0", "v1", "v2", "v3"))).first()[0] or 0
-    return rows.select("cid", *[(F.col(f"v{k}") - low).alias(f"v{k}") for k in range(4)], "mat") if low else rows
+    base = low if low <= 2 else 1
+    return rows.select("cid", *[(F.col(f"v{k}") - base).alias(f"v{k}") for k in range(4)], "mat") if base else rows
 
 
 def read_tets(spark: SparkSession, nodes: str, elements: str) -> Mesh:

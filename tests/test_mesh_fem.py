@@ -46,28 +46,64 @@ def test_unknown_material_is_an_error(spark):
         fem.operator_3d(good.withColumn("mat", F.lit(9)), v).collect()
 
 
-@pytest.mark.parametrize(("local", "solver"), [(10_000, "pcg"), (10_000, "amg")])
-def test_solvers_agree_with_numpy(spark, local, solver):
-    v, t = square(spark, 10)
-    a = fem.operator_2d(t, v)
-    b = v.select(F.col("vid").alias("i"), (F.col("x") + 1).alias("v"))
-    opts = multigrid.SolverOptions(solver=solver, local_size=local, top_size=20, tolerance=1e-8, max_iters=60)
-    got = {r.i: r.v for r in multigrid.solve(a, b, opts).collect()}
-    m, ids = multigrid.local_matrix(a)
-    want = np.linalg.solve(m.dense(), multigrid.local_vector(b, ids))
-    assert max(abs(got[int(i)] - w) for i, w in zip(ids, want, strict=True)) < 1e-5
-    direct = {r.i: r.v for r in multigrid.direct(a, b).collect()}
-    assert max(abs(direct[int(i)] - w) for i, w in zip(ids, want, strict=True)) < 1e-9
-
-
-def test_a_distributed_cycle_shrinks_the_residual(spark):
-    v, t = square(spark, 7)
-    a = fem.operator_2d(t, v)
-    b = v.select(F.col("vid").alias("i"), (F.col("x") + 1).alias("v"))
-    grid = multigrid.Multigrid(a, multigrid.SolverOptions(local_size=20, top_size=8, pre_sweeps=2, post_sweeps=2))
-    assert len(grid.levels) == 2
+def system(spark, m):
+    v, t = square(spark, m)
+    return fem.operator_2d(t, v).cache(), v.select(F.col("vid").alias("i"), (F.col("x") + 1).alias("v"))
+
+
+def values(x):
+    return {r.i: r.v for r in x.collect()}
+
+
+@pytest.mark.parametrize(("solver", "cycle", "aggregator"), [("pcg", "V", "mis"), ("amg", "F", "mis"), ("pcg", "W", "partition"), ("pcg", "K", "conditioned")])
+def test_solvers_agree_with_numpy(spark, solver, cycle, aggregator):
+    a, b = system(spark, 9)
+    opts = multigrid.SolverOptions(solver=solver, cycle=cycle, aggregator=aggregator, top_size=4, least=1, depth=1, most=24, tolerance=1e-8, max_iters=60)
+    found = multigrid.solution(a, b, opts)
+    assert found.converged and 1 < found.iterations < 60
+    m, ids = multigrid.dense(a)
+    right = values(b)
+    want = np.linalg.solve(m, [right[int(i)] for i in ids])
+    got = values(found.x)
+    assert max(abs(got[int(i)] - w) for i, w in zip(ids, want, strict=True)) < 1e-4
+    if solver == "pcg" and cycle == "V":
+        direct = values(multigrid.direct(a, b))
+        assert max(abs(direct[int(i)] - w) for i, w in zip(ids, want, strict=True)) < 1e-9
+        near = multigrid.solution(a, b, opts, found.x)
+        assert near.iterations == 0 and near.converged
+
+
+def test_a_solve_that_does_not_converge_is_an_error(spark):
+    a, b = system(spark, 7)
+    opts = multigrid.SolverOptions(top_size=8, least=1, depth=1, most=12, tolerance=1e-13, max_iters=1)
+    with pytest.raises(multigrid.NotConvergedError) as e:
+        multigrid.solve(a, b, opts)
+    assert e.value.solution.iterations == 1 and e.value.solution.residual > 0 and e.value.solution.x.count() == 49
+    for wrong in ({"aggregator": "?"}, {"solver": "?"}, {"cycle": "?"}):
+        with pytest.raises(ValueError, match="unknown"):
+            multigrid.solve(a, b, multigrid.SolverOptions(top_size=8, **wrong))
+    with pytest.raises(ValueError, match="too many"):
+        multigrid.direct(a, b, most=40)
+
+
+def test_a_cycle_and_its_levels(spark):
+    a, b = system(spark, 7)
+    grid = multigrid.Multigrid(a, multigrid.SolverOptions(top_size=8, depth=1, most=12))
+    assert len(grid.levels) >= 2 and grid.levels[0].a.groupBy("block").agg(F.count_distinct("i").alias("n")).agg(F.max("n")).first()[0] <= 12
     left = sparse.residual(b, a, grid.cycle(b))
     assert sparse.norms(left).first()["norm2"] < 0.5 * sparse.norms(b).first()["norm2"]
+    stats = grid.stats().collect()
+    grids, entries = grid.complexity().first()
+    assert [r.n_rows for r in stats] == [level.n for level in grid.levels]
+    assert grids == pytest.approx(sum(r.n_rows for r in stats) / 49) and entries == pytest.approx(sum(r.nnz for r in stats) / stats[0].nnz)
+
+
+def test_sweeps_inside_blocks_are_those_of_block_jacobi(spark):
+    a, b = system(spark, 5)
+    blocks = b.select(F.col("i").alias("vid"), (F.col("i") % 5).alias("block_id"))
+    sides = sparse.block_split(a, blocks, symmetric=False).select("i", "j", "v", "block", (F.col("side") != "outside").alias("inside"))
+    got, want = values(multigrid.in_block_sweeps(sides, b, 0.67, 4)), values(sparse.block_jacobi(a, b, blocks, 0.67, 4))
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-12
 
 
 def test_empty_matrix_is_an_error(spark):
