@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ..plans.lineage import written
+from ..plans.lineage import discard, written
 
-__all__ = ["LOWEST", "components", "groups", "keyed", "read", "run_starts", "texts", "utf8", "written"]
+__all__ = ["LOWEST", "components", "discard", "groups", "keyed", "read", "run_starts", "texts", "utf8", "written"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

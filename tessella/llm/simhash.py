@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWEST, components, groups, read, run_starts, texts, utf8, written
+from .common import LOWEST, components, discard, groups, read, run_starts, texts, utf8, written
 
 SPREAD = np.array([int.from_bytes(bytes((b >> k) & 1 for k in range(8)), "little") for b in range(256)], np.uint64)
 STEP = 200_000  # shingles at a time
@@ -112,15 +112,22 @@ def linked_pairs(fps: np.ndarray, radius: int, group: np.ndarray | None = None):
         start = end
 
 
-def flipped_pairs(fps: np.ndarray, radius: int, free: list[int]):
-    """The same pairs of distinct fps that differ in `free` bits only, by looking up every change of up to `radius` of them."""
-    order = np.argsort(fps)
-    for r in range(1, radius + 1):
-        for bits in itertools.combinations(free, r):
-            other = fps ^ np.uint64(sum(1 << b for b in bits))
-            at = np.minimum(np.searchsorted(fps, other, sorter=order), len(fps) - 1)
-            i = np.flatnonzero(fps[order[at]] == other)
-            yield i, order[at[i]]
+def table_pairs(fps: np.ndarray, radius: int, group: np.ndarray, bits: np.ndarray, most: int):
+    """linked_pairs of distinct fps, whose group shares the bits of a mask. Tables of more than `most` are dealt anew first:
+    the bits they do not share are cut in blocks, and each choice of four blocks is a key within the group, so that the
+    last tables hold a few hundred fingerprints at most and no link is lost."""
+    many = np.bincount(group, minlength=1)[group]
+    small = np.flatnonzero(many <= most)
+    for i, j in linked_pairs(fps[small], radius, group[small]):
+        yield small[i], small[j]
+    for mask in np.unique(bits[many > most]).tolist():
+        at = np.flatnonzero((many > most) & (bits == mask))
+        free = [b for b in range(64) if not mask >> b & 1]
+        for chosen in itertools.combinations(np.array_split(free, radius + 4), 4):
+            own = np.uint64(sum(1 << int(b) for part in chosen for b in part))
+            sub = np.unique(np.stack([group[at].astype(np.uint64), fps[at] & own]), axis=1, return_inverse=True)[1].ravel()
+            for i, j in linked_pairs(fps[at], radius, sub):
+                yield at[i], at[j]
 
 
 def _low(n: int, pairs) -> np.ndarray:
@@ -138,75 +145,85 @@ def _low(n: int, pairs) -> np.ndarray:
 
 
 def _stars(radius: int, masks: list[int], most: int):
-    """From sorted rows key, bits, fp, rep (a key's fingerprints, each once): links (a, b) from each to the first of its group."""
+    """From sorted rows key, bits, fp (a key's fingerprints, each once): links (a, b) from each to the first of its group."""
+    shared = np.array(masks, np.uint64)
 
     def run(batches):
         for batch in groups(batches, 2):
-            key, bits, fp, rep = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            cuts = run_starts(key, bits)
-            size = np.diff(cuts)
+            key, bits, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            size = np.diff(run_starts(key, bits))
             of = np.repeat(np.arange(len(size)), size)
-            many = size[of]
-            links = []
-            large = many > most if radius <= 2 else np.zeros(len(fp), bool)
-            at = np.flatnonzero((many > 1) & ~large)
-            at = at[np.lexsort((rep[at], of[at]))]
-            low = _low(len(at), linked_pairs(fp[at].view(np.uint64), radius, of[at]))
-            links.append((at, at[low]))
-            for g in np.unique(of[large]).tolist():
-                at = np.arange(cuts[g], cuts[g + 1])
-                at = at[np.argsort(rep[at])]
-                free = [k for k in range(64) if not masks[key[cuts[g]]] >> k & 1]
-                links.append((at, at[_low(len(at), flipped_pairs(fp[at].view(np.uint64), radius, free))]))
-            a, b = (np.concatenate(x) for x in zip(*links, strict=True))
-            a, b = rep[a[a != b]], rep[b[a != b]]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            at = np.flatnonzero(size[of] > 1)
+            low = _low(len(at), table_pairs(fp[at].view(np.uint64), radius, of[at], shared[key[at]], most))
+            a, b = fp[at], fp[at[low]]
+            yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
 
     return run
 
 
 def _keyed(distinct: DataFrame, masks: list[int], *more: str) -> DataFrame:
-    """A row (key, bits, fp, rep and more) for each key of each distinct fingerprint, dealt and sorted by key."""
+    """A row (key, bits, fp and more) for each key of each distinct fingerprint, dealt and sorted by key."""
     each = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks])).alias("key", "bits")
-    return distinct.select(each, "fp", "rep", *more).repartition("key", "bits").sortWithinPartitions("key", "bits")
+    return distinct.select(each, "fp", *more).repartition("key", "bits").sortWithinPartitions("key", "bits")
 
 
 def near_classes(prints: DataFrame, radius: int = 2, most: int = 3000) -> DataFrame:
     """prints (doc_id, fp) with component_id, the smallest doc_id that can be reached by links of at most `radius` bits.
 
-    Exact for a radius up to 4. A key's table of more than `most` fingerprints takes the other exact way, look-ups of all
-    changes of its free bits (radius up to 2). Null ids come along: they are nobody's smallest id unless all are null.
+    Exact for a radius up to 4; links run between distinct fingerprints, so copies add nothing to them. Rows without id
+    link others like any row and are nobody's smallest id: component_id is null only where all that is reached has none.
+    Rows that share an id each have their own fingerprint and class; an empty table gives no rows.
     """
-    prints = written(prints, "prints")
+    if radius > 4:
+        raise ValueError("the radius is 4 at most")
+    prints = written(prints.select("doc_id", "fp"), "prints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     masks = masks_for(radius)
-    links = _keyed(distinct.where("rep is not null"), masks).mapInArrow(_stars(radius, masks, most), "a long, b long")
-    reached = components(links).withColumnRenamed("node", "rep")
-    classes = distinct.join(reached, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(classes, "fp")
+    links = _keyed(distinct, masks).mapInArrow(_stars(radius, masks, most), "a long, b long")
+    reached = components(links).toDF("fp", "component")
+    classes = distinct.join(reached, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    named = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return prints.join(classes.join(named, "component").select("fp", "component_id"), "fp")
 
 
 NEAREST = 4  #: fingerprints that one is paired with under a choice of bits, besides the one of the least id
 FIRST = 12  #: choices of bits of the first round; the exact round looks only for links between its components
 SKETCH = 64  #: least shingle hashes that a text of the first round is compared by
-SAMPLE, COMMON = 20_000, 3  #: texts in which shingles are counted, least count of a common one; both only set an order
+COMMON = 3  #: least count of a shingle in a stretch of texts for it to be counted there
+STRETCH = 1 << 21  #: shingles of a stretch
+SHOWN = 1 << 18  #: common shingles that set the order; the others count as unseen
 BITS = 256  #: bits of the parities of a text's shingles
+HELD = 1 << 20  #: ids of texts that are sent to all tasks at most
 PRINTS = "doc_id long, t long, fp long, sketch binary, n int, prefix array<long>, b0 long, b1 long, b2 long, b3 long"
 
 
 def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes (ascending) that COMMON texts of some SAMPLE have, and how many have them: SAMPLE / COMMON texts' worth at most."""
+    """Shingle hashes (ascending) that come often, and how often, by lossy counting over all texts.
+
+    A task counts its texts in stretches of STRETCH shingles and gives those of COMMON texts at least, so a shingle of a
+    large share of all texts is in some stretch of some task. The counts set an order only: whatever they are, no link is
+    lost. The SHOWN most frequent are kept, 4 MB at most.
+    """
+
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+        h, count = np.unique(np.concatenate(parts), return_counts=True)
+        often = count >= COMMON
+        return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(count[often].astype(np.int64))], names=["h", "n"])
 
     def run(batches):
+        held, size = [], 0
         for b in batches:
-            data, ends = utf8(b.column(1))
-            raw = data.tobytes()
+            data, ends = utf8(b.column(0))
             for s, e in itertools.pairwise(ends.tolist()):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(raw[s:e], words)).view(np.int64))], names=["h"])
-
-    rate = max(1, -(-rows.count() // SAMPLE))
-    some = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rate)) == 0).select("doc_id", "text")
-    found = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON).toArrow()
+                held.append(np.unique(shingle_hashes(data[s:e].tobytes(), words)))
+                size += len(held[-1])
+                if size >= STRETCH:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
+
+    found = rows.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(SHOWN).toArrow()
     h, count = (found.column(k).to_numpy() for k in range(2))
     h = h.astype(np.int64).view(np.uint64)
     order = np.argsort(h)
@@ -251,8 +268,44 @@ def _sketches(words: int, common: tuple[np.ndarray, np.ndarray], similarity: flo
     return run
 
 
+def _windows(token: np.ndarray, comp: np.ndarray, n: np.ndarray, most: np.ndarray, similarity: float):
+    """For rows sorted by token and n: index arrays (i, j) of pairs of one token and two components, where j has no more
+    shingles than i, similarity times n[i] at least and most[i] at most. In bounded blocks.
+
+    A component that holds most of a token's rows is never paired with itself: its rows meet those of the others only.
+    """
+    ends = run_starts(token)
+    size = int(n.max(initial=0)) + 2
+    of = np.repeat(np.arange(len(ends) - 1), np.diff(ends)).astype(np.int64)
+    order = np.lexsort((comp, token))
+    cuts = run_starts(token[order], comp[order])
+    runs, sizes = order[cuts[:-1]], np.diff(cuts)
+    last = np.lexsort((sizes, of[runs]))  # the longest run of each token comes last
+    last = last[run_starts(of[runs][last])[1:] - 1] if len(last) else last
+    chosen = np.where(sizes[last] > 1, comp[runs[last]], LOWEST)
+    lead = comp == chosen[of]  # rows of the component that has the most rows of their token
+    place = of * size
+    for mine, theirs in ((~lead, ~lead), (~lead, lead), (lead, ~lead)):  # equal sizes come twice
+        a, b = np.flatnonzero(mine), np.flatnonzero(theirs)
+        if not len(a) or not len(b):
+            continue
+        low = np.searchsorted(place[b] + n[b], place[a] + np.ceil(similarity * n[a] - 1e-6).astype(np.int64), side="left")
+        high = np.searchsorted(place[b] + n[b], place[a] + np.minimum(n[a], most[a]), side="right")
+        many = np.maximum(high - low, 0)
+        total = np.append(0, np.cumsum(many))
+        start = 0
+        while start < len(a):
+            end = max(start + 1, int(np.searchsorted(total, total[start] + (1 << 20), side="right")) - 1)
+            part = many[start:end]
+            i = np.repeat(a[start:end], part)
+            j = b[np.repeat(low[start:end] - (np.cumsum(part) - part), part) + np.arange(len(i))]
+            apart = comp[i] != comp[j]
+            yield i[apart], j[apart]
+            start = end
+
+
 def _meeting(similarity: float):
-    """From sorted rows token, comp, place, n, rep, b0..b3: pairs (a, b) of one token and two components that may be that similar.
+    """From sorted rows token, n, comp, place, rep, b0..b3: pairs (a, b) of one token and two components that may be that similar.
 
     With J >= s, sets of x and y hashes have s / (1 + s) * (x + y) in common at least and differ in the rest. That bounds
     the sizes, what is left after the first common token, and the number of parities that differ. No bound drops a link.
@@ -261,37 +314,32 @@ def _meeting(similarity: float):
 
     def run(batches):
         for batch in groups(batches, 1):
-            token, comp, place, n, rep, *bits = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            token, n, comp, place, rep, *bits = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             size = np.diff(run_starts(token))
             keep = np.flatnonzero(np.repeat(size, size) > 1)
-            token, comp, place, n, rep = (c[keep] for c in (token, comp, place, n, rep))
+            token, n, comp, place, rep = (c[keep] for c in (token, n, comp, place, rep))
             bits = np.stack([c[keep] for c in bits], axis=1).view(np.uint64)
             place, n = place.astype(np.int64), n.astype(np.int64)
-            ends, runs = run_starts(token), run_starts(token, comp)
-            # each is held against the rows of its token behind its component's
-            behind, upto = np.repeat(runs[1:], np.diff(runs)), np.repeat(ends[1:], np.diff(ends))
-            total = np.append(0, np.cumsum(upto - behind))
-            found, start = [np.zeros((2, 0), np.int64)], 0
-            while start < len(rep):
-                end = max(start + 1, int(np.searchsorted(total, total[start] + (1 << 20), side="right")) - 1)
-                many = (upto - behind)[start:end]
-                i = np.repeat(np.arange(start, end), many)
-                j = np.repeat(behind[start:end] - (np.cumsum(many) - many), many) + np.arange(len(i))
-                least = share * (n[i] + n[j]) - 1e-6
-                good = (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= least)
-                i, j, least = i[good], j[good], least[good]
-                good = np.bitwise_count(bits[i] ^ bits[j]).sum(1) <= n[i] + n[j] - 2 * least
+            most = np.floor((n - place) / share - n + 1e-6).astype(np.int64)  # of the other set, if this is the first common token
+            found = [np.zeros((2, 0), np.int64)]
+            for i, j in _windows(token, comp, n, most, similarity):
+                i, j = (x[most[j] >= n[i]] for x in (i, j))
+                good = np.bitwise_count(bits[i] ^ bits[j]).sum(1) <= n[i] + n[j] - 2 * (share * (n[i] + n[j]) - 1e-6)
                 i, j = i[good], j[good]
                 found.append(np.unique(np.stack([np.maximum(rep[i], rep[j]), np.minimum(rep[i], rep[j])]), axis=1))
-                start = end
-                if sum(x.shape[1] for x in found) > 1 << 20 or start >= len(rep):
-                    a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+                if sum(x.shape[1] for x in found) > 1 << 20:
+                    yield _pairs(found)
                     found = [np.zeros((2, 0), np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield _pairs(found)
 
     return run
 
 
+def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
 def alike(a: bytes, b: bytes) -> float:
     """Estimated share of shingles in common, from two sketches; exact where both hold all shingles."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -349,15 +397,16 @@ def _verified(words: int, similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 15, tables: int = FIRST, bits: int = 18) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 15, tables: int = FIRST) -> DataFrame:
     """(key, component) of each row of docs (key long, text): rows of one component are copies, or linked by near copies.
 
     A link is a pair whose shingle sets have `similarity` of their union in common; texts of equal words are grouped
-    first. In a first round, candidates are pairs within `radius` bits that agree in one of `tables` choices of bits: under
-    a choice each fingerprint is paired with its four nearest and with the least id near it, and sketches thin them out.
-    That joins large groups cheaply and need not find all. The second round is exact: all pairs of two components that
-    share a shingle of their prefixes and that no bound rules out. Whole texts decide on every link. Texts of no words are
-    not linked to any other text.
+    first. In a first round, candidates are pairs within `radius` bits that agree in one of `tables` choices of bits, each
+    of as many bits as tell the fingerprints apart on average: under a choice each fingerprint is paired with its four
+    nearest and with the least id near it, and sketches thin them out. That joins large groups cheaply and need not find
+    all. The second round is exact: all pairs of two components that share a shingle of their prefixes and that no bound
+    rules out. Whole texts decide on every link. Texts of no words are not linked to any other text. Rows that share a
+    key have one class, and the least of their texts stands for them.
     """
 
     def sifted(batches):
@@ -368,26 +417,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
     rows = docs.select(F.col("key").alias("doc_id"), "text")
     prints = written(rows.mapInArrow(_sketches(words, _common(rows, words), similarity), PRINTS), "sketches")
     full = F.length("sketch") > 0
-    heads = prints.where(full).groupBy("t", "fp").agg(F.min("doc_id").alias("rep"))
-    sketch = prints.where(full).select(F.col("doc_id").alias("rep"), "sketch").groupBy("rep").agg(F.min("sketch").alias("sketch"))
-    text = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
+    heads = written(prints.where(full).groupBy("t", "fp").agg(F.min("doc_id").alias("rep")), "heads")
+    bits = max(18, math.ceil(math.log2(max(2, heads.count()))))
+
+    def of_pairs(pairs, table, value):
+        """a, b and the values x, y of both. Only the rows that a pair has go on; a shuffle deals no others."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        kept = table.join(F.broadcast(ids) if ids.count() <= HELD else ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(value).alias(value))
+        return pairs.join(kept.toDF("a", "x"), "a").join(kept.toDF("b", "y"), "b").select("a", "b", "x", "y")
 
     def verified(pairs):
         pairs = written(pairs, "pairs")
-        new = pairs.join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_verified(words, similarity), "a long, b long")
-        return written(new, "links")
+        links = written(of_pairs(pairs, rows, "text").mapInArrow(_verified(words, similarity), "a long, b long"), "links")
+        discard(pairs)
+        return links
 
     def joined_by(links):
         return components(links).withColumnRenamed("node", "rep")
 
-    found = _keyed(heads.withColumn("comp", F.col("rep")), masks_for(radius, tables, bits), "comp").mapInArrow(_nearest(radius), "a long, b long").distinct()
-    links = verified(found.join(sketch.toDF("a", "x"), "a").join(sketch.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(sifted, "a long, b long"))
+    near = _keyed(heads.withColumn("comp", F.col("rep")), masks_for(radius, tables, bits), "rep", "comp").mapInArrow(_nearest(radius), "a long, b long")
+    near = written(near.distinct(), "near")
+    links = verified(of_pairs(near, prints.select("doc_id", "sketch"), "sketch").mapInArrow(sifted, "a long, b long"))
+    discard(near)
     comp = heads.join(joined_by(links), "rep", "left").select("t", "fp", F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("comp"))
-    met = prints.where(full).join(comp, ["t", "fp", "doc_id"]).select(F.posexplode("prefix").alias("place", "token"), "comp", "n", F.col("doc_id").alias("rep"), "b0", "b1", "b2", "b3")
-    met = met.select("token", "comp", "place", "n", "rep", "b0", "b1", "b2", "b3").repartition("token").sortWithinPartitions("token", "comp")
+    met = prints.where(full).drop("sketch").join(comp, ["t", "fp", "doc_id"]).select(F.posexplode("prefix").alias("place", "token"), "comp", "n", F.col("doc_id").alias("rep"), "b0", "b1", "b2", "b3")
+    met = met.select("token", "n", "comp", "place", "rep", "b0", "b1", "b2", "b3").repartition("token").sortWithinPartitions("token", "n")
     links = links.union(verified(met.mapInArrow(_meeting(similarity), "a long, b long").where("a <> b").distinct()))
     classes = heads.join(joined_by(links), "rep", "left").select("t", "fp", F.coalesce("component", "rep").alias("component"))
-    return prints.join(classes, ["t", "fp"], "left").select(F.col("doc_id").alias("key"), F.when(full, F.col("component")).otherwise(F.col("doc_id")).alias("component"))
+    return prints.select("doc_id", "t", "fp", full.alias("full")).join(classes, ["t", "fp"], "left").select(F.col("doc_id").alias("key"), F.when(F.col("full"), F.col("component")).otherwise(F.col("doc_id")).alias("component"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -127,6 +127,53 @@ def test_near_duplicates_in_a_group_of_one_template(spark):
     assert got == {k: k // 2 * 2 for k in range(600)}
 
 
+def alike_components(rows, similarity=0.8):
+    """Least key reachable over pairs of like shingle sets, by holding every text against every other."""
+    sets = [set(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for _, t in rows]
+    label = list(range(len(rows)))
+
+    def top(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    order = sorted((k for k in range(len(rows)) if sets[k]), key=lambda k: len(sets[k]))
+    for a, i in enumerate(order):
+        for j in order[a + 1 :]:
+            if similarity * len(sets[j]) > len(sets[i]) + 1e-9:
+                break
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both) - 1e-9 and top(i) != top(j):
+                label[max(top(i), top(j))] = min(top(i), top(j))
+    low = {}
+    for k, (key, _) in enumerate(rows):
+        low[top(k)] = min(low.get(top(k), key), key)
+    return {key: low[top(k)] for k, (key, _) in enumerate(rows)}
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    rows = [tuple(r) for r in duckdb.sql(f"SELECT doc_id, text FROM '{DATA}/sf0.01/documents.parquet' ORDER BY 1").fetchall()]
+    rng, base = random.Random(9), rows[5][1].split()
+    for k in range(60):  # a chain, each changed a little further
+        base[rng.randrange(len(base))] = f"changed{k}"
+        rows.append((100_000 + k, " ".join(base)))
+    got = {r.key: r.component for r in simhash.near_duplicates(spark.createDataFrame(rows, "key long, text string")).collect()}
+    want = alike_components(rows)
+    assert got == want and len(set(want.values())) < len(rows) - 60
+
+
+def test_simhash_odd_rows(spark):
+    prints = spark.createDataFrame([(1, 0), (None, 3), (5, 15), (5, 1 << 40), (None, -1), (9, 1 << 40), (9, 1 << 40)], "doc_id long, fp long")
+    got = sorted(((r.doc_id, r.fp, r.component_id) for r in simhash.near_classes(prints).collect()), key=str)
+    want = [(1, 0, 1), (5, 15, 1), (5, 1 << 40, 1), (9, 1 << 40, 1), (9, 1 << 40, 1), (None, -1, None), (None, 3, 1)]
+    assert got == sorted(want, key=str)  # 1 reaches 5 through a row without id
+    assert simhash.near_classes(prints.where("false")).count() == 0
+    rows = simhash.near_classes(simhash.fingerprints(frame(spark, ODD))).collect()
+    assert len(rows) == len(ODD) and {r.component_id for r in rows if r.doc_id in (7000, 7001)} == {7000}
+    with pytest.raises(ValueError, match="radius"):
+        simhash.near_classes(prints, 5)
+
+
 # 3
 
 
