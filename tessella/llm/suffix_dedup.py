@@ -5,13 +5,16 @@ at the same offset, so two places of a repeat always meet under one anchor hash.
 
 1. Each document gives its anchors (about one for 31 bytes) with a hash of the text around, 68 bytes before to 100 after.
    Of equal ones in a batch the first goes on, which keeps a text copied everywhere from filling one task.
-2. Anchors are dealt by their hash and sorted. Of those with equal surroundings all but the first are covered as a whole.
-   What is left, first places of one anchor with different surroundings, lies at the ends of repeats.
-3. For these the suffixes that begin at the anchor are sorted; a stack scan of their common prefixes yields the interval
-   tree. In each interval the suffixes are put in order of the text to their left; where it is diverse the interval is a
-   maximal repeat, and each place is held against the nearest earlier ones on both sides of that order.
-   An anchor with more first places than `most` takes step 4 instead.
-4. Its strings of 100 bytes are hashed (128 bits) and grouped with map-side minimums, so no group meets in one task.
+2. Anchors are dealt by their hash and sorted. Places of one anchor with equal surroundings (64 bits each for anchor and
+   surroundings) are a repeat group as they are: all but the first are covered as a whole. The first stands for them.
+3. Over the first places of an anchor, which differ in their surroundings, an enhanced suffix array is built: the suffixes
+   from the anchor on are sorted, and a stack scan of their common prefixes yields the interval tree. The places of an
+   interval are then scanned in the order of the text to their left. An interval of that scan is diverse to the left; if
+   its places also lie in more than one child of the right interval it is a maximal repeat group, given with all places.
+   Every place of a group but the earliest is covered.
+4. Places of an anchor with more than `most` of them are dealt anew: two that share 100 bytes share one of four longer
+   strings around the anchor. Where even such a string has more than `most` places, the strings of 100 bytes in them are
+   hashed (128 bits) and grouped with map-side minimums, so no group meets in one task.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +82,18 @@ class Anchors:
         return h[at].view(np.int64), near.view(np.int64), row, at - begin, at - low, high - at
 
 
+def _long_anchors(find: Anchors, data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same of one text that is longer than PIECE: each stretch is read with as much around it as decides on its anchors."""
+    margin, parts = 2 * find.length, [[] for _ in range(6)]
+    for at in range(0, len(data), PIECE):
+        low, high = max(0, at - margin), min(len(data), at + PIECE + margin)
+        found = find(data[low:high], np.array([0, high - low]))
+        mine = (found[3] + low >= at) & (found[3] + low < at + PIECE)
+        for p, x, add in zip(parts, found, (0, 0, 0, low, 0, 0), strict=True):
+            p.append(x[mine] + add)
+    return tuple(np.concatenate(p) for p in parts)
+
+
 def _pieces(ends: np.ndarray) -> list[tuple[int, int]]:
     """Runs of rows of about PIECE bytes: the arrays then stay in the processor's cache."""
     out, i = [], 0
@@ -107,8 +123,8 @@ def _spans(key, tie, start, end) -> tuple[np.ndarray, ...]:
 MARKS = "h long, near long, key long, tie long, place long"
 
 
-def _marks(length: int):
-    """Rows of MARKS: anchors, place = start * 65536 + before * 256 + after; and spans known in the batch, place < 0."""
+def _marks(length: int, merged: bool = True):
+    """Rows of MARKS: anchors, place = start * 65536 + before * 256 + after; and, merged, spans known in the batch, place < 0."""
 
     def run(batches):
         find = Anchors(length)
@@ -117,7 +133,8 @@ def _marks(length: int):
             data, ends = utf8(b.column(2))
             parts = [[] for _ in range(6)]
             for i, j in _pieces(ends):
-                found = find(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
+                part = data[ends[i] : ends[j]]
+                found = find(part, ends[i : j + 1] - ends[i]) if j - i > 1 or len(part) <= PIECE else _long_anchors(find, part)
                 for p, x in zip(parts, (found[0], found[1], found[2] + i, *found[3:]), strict=True):
                     p.append(x)
             if not parts:
@@ -126,7 +143,7 @@ def _marks(length: int):
             key, tie = keys[row], ties[row]
             order = np.lexsort((at, tie, key, near, h))
             h, near, key, tie, at, before, after = (x[order] for x in (h, near, key, tie, at, before, after))
-            first = np.zeros(len(h), bool)
+            first = np.full(len(h), not merged)
             first[run_starts(h, near)[:-1]] = True
             rest = ~first & (before + after >= length)
             k, t, s, e = _spans(key[rest], tie[rest], (at - before)[rest], (at + after)[rest])
@@ -219,39 +236,42 @@ def intervals(suffixes: list[bytes], least: int):
             stack.append((shared, begin))
 
 
-def earlier_repeats(places: list[tuple], lefts: list[bytes], rights: list[bytes], length: int):
-    """(i, bytes before, bytes after) of repeats of `length` bytes or more that place i shares with an earlier place.
+def maximal_repeats(lefts: list[bytes], rights: list[bytes], length: int):
+    """(bytes before, bytes after, places) of every maximal repeat group of at least `length` bytes around one anchor.
 
-    lefts are reversed, so that a common prefix is common text before the anchor. In an interval with `size` common bytes
-    after the anchor, places in order of lefts need be held only against the nearest earlier place on either side.
+    lefts are reversed, so that a common prefix is common text before the anchor. A group has all the places that share
+    its string; it is maximal, as no longer string in the given texts has the same places.
     """
-    if len(places) == 2:
-        i = int(places[1] > places[0])
+    if len(lefts) == 2:
         before, after = common(*lefts), common(*rights)
-        if before + after >= length and places[0] != places[1]:
-            yield i, before, after
+        if before + after >= length:
+            yield before, after, [0, 1]
         return
-    rank = sorted(range(len(places)), key=lefts.__getitem__)
+    rank = sorted(range(len(lefts)), key=lefts.__getitem__)
     position = {x: r for r, x in enumerate(rank)}
     reach = [common(lefts[rank[r]], lefts[rank[r + 1]]) for r in range(len(rank) - 1)]
-    for size, members in intervals(rights, ANCHOR):
+    child = [-1 - x for x in range(len(lefts))]  # the interval below the present one that a place lies in, or itself
+    for number, (size, members) in enumerate(intervals(rights, ANCHOR)):
         members = sorted(members, key=position.__getitem__)
         gaps = [min(reach[position[x] : position[y]]) if position[y] - position[x] < 9 else common(lefts[x], lefts[y]) for x, y in zip(members, members[1:], strict=False)]
-        if size + max(gaps, default=0) < length:
-            continue
-        for seq, gap in ((members, gaps), (members[::-1], gaps[::-1])):
-            stack: list[list] = []  # place, common left text with the one below
-            for k, x in enumerate(seq):
-                shared = gap[k - 1] if k else 0
-                while stack and places[stack[-1][0]] > places[x]:
-                    shared = min(shared, stack.pop()[1])
-                if stack and shared + size >= length:
-                    yield x, shared, size
-                stack.append([x, shared])
-
-
-def _contexts(length: int):
-    """From rows key, tie, text, at: array of struct(h, place): h, key, tie, start, left (reversed) and right bytes."""
+        stack: list[tuple[int, int]] = []  # common text to the left, first place
+        for r, gap in enumerate([*gaps, -1], 1):
+            begin = r - 1
+            while stack and stack[-1][0] > gap:
+                before, begin = stack.pop()
+                if len({child[x] for x in members[begin:r]}) > 1:
+                    yield before, size, members[begin:r]
+            if gap + size >= length and (not stack or stack[-1][0] < gap):
+                stack.append((gap, begin))
+        for x in members:
+            child[x] = number
+
+
+CONTEXTS = "h long, key long, tie long, at long, left binary, right binary"
+
+
+def _contexts():
+    """From rows key, tie, text, at (array of struct(h, place)): CONTEXTS, with the bytes to the left of a place reversed."""
 
     def run(batches):
         for b in batches:
@@ -268,60 +288,157 @@ def _contexts(length: int):
     return run
 
 
-def _compare(length: int):
+GROUPS = "g long, before int, after int, n int, key long, tie long, at long"
+
+
+def _groups(length: int, everywhere: bool = False):
+    """From CONTEXTS sorted by h: a row of GROUPS for each place of each maximal repeat group, the earliest place first; g is
+    the hash of the group's string. everywhere: only groups whose anchor follows from the string, so that it is one wherever
+    the string is."""
+
+    find = Anchors(length)
+
+    def follows(string: bytes, at: int) -> bool:
+        return at in find(np.frombuffer(string, np.uint8), np.array([0, len(string)]))[3]
+
     def run(batches):
         for b in groups(batches, 1):
             h = b.column(0).to_numpy(zero_copy_only=False)
-            key, tie, at = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            place = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)], axis=1)
             left, right = b.column(4).to_pylist(), b.column(5).to_pylist()
-            out = []
+            rows: list[np.ndarray] = []
             cuts = run_starts(h).tolist()
             for i, j in zip(cuts, cuts[1:], strict=False):
-                if j - i > 1:
-                    places = list(zip(key[i:j].tolist(), tie[i:j].tolist(), at[i:j].tolist(), strict=True))
-                    for x, before, after in earlier_repeats(places, left[i:j], right[i:j], length):
-                        k, t, a = places[x]
-                        out.append((k, t, a - before, a + after))
-            cols = _spans(*np.array(out, np.int64).reshape(-1, 4).T)
+                if j - i < 2:
+                    continue
+                places = [tuple(x) for x in place[i:j].tolist()]
+                for before, after, members in maximal_repeats(left[i:j], right[i:j], length):
+                    members = sorted(set(members), key=places.__getitem__)
+                    members = [x for k, x in enumerate(members) if not k or places[x] != places[members[k - 1]]]
+                    if len(members) > 1:
+                        x = i + members[0]
+                        string = left[x][:before][::-1] + right[x][:after]
+                        if everywhere and not follows(string, before):
+                            continue
+                        g = xxhash.xxh64_intdigest(string) - (1 << 63)
+                        rows.append(np.array([(g, before, after, len(members), *places[x]) for x in members], np.int64))
+                if sum(map(len, rows)) > 1 << 16:
+                    yield _rows_of(rows)
+                    rows = []
+            yield _rows_of(rows)
+
+    return run
+
+
+def _rows_of(rows: list[np.ndarray]) -> pa.RecordBatch:
+    cols = np.concatenate([np.zeros((0, 7), np.int64), *rows]).T
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if 0 < k < 4 else c) for k, c in enumerate(cols)], names=[x.split()[0] for x in GROUPS.split(", ")])
+
+
+def _covered(length: int):
+    """From the same: the spans (key, tie, s, e) of all places of a group but the earliest."""
+
+    def run(batches):
+        for b in _groups(length)(batches):
+            before, after, n, key, tie, at = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns[1:])
+            rest = np.ones(len(n), bool)
+            k = 0
+            while k < len(n):  # groups come whole
+                rest[k] = False
+                k += n[k]
+            cols = _spans(key[rest], tie[rest], (at - before)[rest], (at + after)[rest])
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "tie", "s", "e"])
 
     return run
 
 
+def _subkeys(length: int):
+    """From CONTEXTS: the same and `subs`, hashes of four strings around the anchor; two places with `length` common bytes
+    share one. With room = length - 32 bytes to share on both sides, the k-th has k quarters of it before the anchor and
+    3 - k after, so that the share before decides which one it is."""
+    room = length - ANCHOR
+    quarter = -(-room // 4)
+
+    def run(batches):
+        for b in batches:
+            subs = []
+            for h, left, right in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+                own = []
+                for k in range(4):
+                    x, y = min(room, k * quarter), ANCHOR + max(0, room - (k + 1) * quarter)
+                    if len(left) >= x and len(right) >= y:
+                        own.append(xxhash.xxh64_intdigest(left[:x] + b"|" + right[:y], (h + k) & (1 << 64) - 1) - (1 << 63))
+                subs.append(own)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(subs, pa.list_(pa.int64()))], names=[*b.schema.names, "subs"])
+
+    return run
+
+
 def _strings(length: int):
-    """From rows key, tie, text, at: a 128-bit hash of every string of `length` bytes around each anchor, and its start."""
+    """From CONTEXTS: a 128-bit hash of every string of `length` bytes around each anchor, and its start."""
 
     def run(batches):
         for b in batches:
-            for key, tie, text, ats in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                data = (text or "").encode()
-                starts = sorted({s for x in ats for p in [x["a"]] for s in range((p >> 16) - ((p >> 8) & 255), min(p >> 16, len(data) - length) + 1)})
-                sums = np.frombuffer(b"".join(hashlib.blake2b(data[s : s + length], digest_size=16).digest() for s in starts), np.int64).reshape(-1, 2)
-                n = len(starts)
-                yield pa.RecordBatch.from_arrays([pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(np.full(n, key, np.int64)), pa.array(np.full(n, tie, np.int64)), pa.array(starts, pa.int64())], names=["x", "y", "key", "tie", "s"])
+            out = [[], [], [], []]
+            for key, tie, at, left, right in zip(*(b.column(k).to_pylist() for k in range(1, 6)), strict=True):
+                data = left[::-1] + right
+                n = max(0, len(data) - length + 1)
+                for o, v in zip(out, ([hashlib.blake2b(data[s : s + length], digest_size=16).digest() for s in range(n)], [key] * n, [tie] * n, range(at - len(left), at - len(left) + n)), strict=True):
+                    o += v
+            sums = np.frombuffer(b"".join(out[0]), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(sums[:, 0]), pa.array(sums[:, 1]), *(pa.array(x, pa.int64()) for x in out[1:])], names=["x", "y", "key", "tie", "s"])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, most: int = 20_000) -> DataFrame:
+def _places(docs: DataFrame, known: DataFrame, kind: int) -> DataFrame:
+    """CONTEXTS of the places of a kind of KNOWN."""
+    places = known.where(F.col("kind") == kind).groupBy("key", "tie").agg(F.collect_list(F.struct("h", "a")).alias("at"))
+    return docs.select("key", "tie", "text").join(places, ["key", "tie"]).mapInArrow(_contexts(), CONTEXTS)
+
+
+def _crowded(docs: DataFrame, known: DataFrame, length: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """For places of anchors with more than `most`: contexts to be grouped by their h, which is a sub-key now; and those of
+    sub-keys with more than `most` again."""
+    contexts = written(_places(docs, known, 2).mapInArrow(_subkeys(length), f"{CONTEXTS}, subs array<long>"), "crowded")
+    each = contexts.select(F.explode("subs").alias("sub"), "key", "tie", "at", "left", "right")
+    full = written(each.groupBy("sub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("sub"), "full")
+    few = each.join(full, "sub", "left_anti").withColumnRenamed("sub", "h")
+    return few.select("h", "key", "tie", "at", "left", "right"), each.join(full, "sub", "left_semi").withColumnRenamed("sub", "h").dropDuplicates(["key", "tie", "at"])
+
+
+def repeated_spans(docs: DataFrame, length: int = 100, most: int = 2000) -> DataFrame:
     """(key, tie, s, e): byte spans of the rows of keyed(docs) that hold only strings of `length` bytes which start earlier."""
     if not ANCHOR < length <= 255:
         raise ValueError(f"length must be from {ANCHOR + 1} to 255")
     marks = docs.select("key", "tie", "text").mapInArrow(_marks(length), MARKS)
     known = written(marks.repartition("h").sortWithinPartitions("h", "near", "key", "tie", "place").mapInArrow(_classes(length, most), KNOWN), "known")
     spans = known.where("kind = 0").select("key", "tie", F.col("a").alias("s"), F.col("b").alias("e"))
-
-    def at(kind: int) -> DataFrame:
-        places = known.where(F.col("kind") == kind).groupBy("key", "tie").agg(F.collect_list(F.struct("h", "a")).alias("at"))
-        return docs.select("key", "tie", "text").join(places, ["key", "tie"])
-
-    near = at(1).mapInArrow(_contexts(length), "h long, key long, tie long, at long, left binary, right binary")
-    spans = spans.union(near.repartition("h").sortWithinPartitions("h").mapInArrow(_compare(length), "key long, tie long, s long, e long"))
+    near = _places(docs, known, 1)
     if not known.where("kind = 2").isEmpty():
-        strings = at(2).mapInArrow(_strings(length), "x long, y long, key long, tie long, s long")
+        few, many = _crowded(docs, known, length, most)
+        near = near.unionByName(few)
+        strings = many.select("h", "key", "tie", "at", "left", "right").mapInArrow(_strings(length), "x long, y long, key long, tie long, s long")
         first = strings.groupBy("x", "y").agg(F.min(F.struct("key", "tie", "s")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
         spans = spans.union(strings.join(first, ["x", "y"]).where("struct(key, tie, s) > first").select("key", "tie", "s", (F.col("s") + length).alias("e")))
-    return spans
+    return spans.union(near.repartition("h").sortWithinPartitions("h").mapInArrow(_covered(length), "key long, tie long, s long, e long"))
+
+
+def repeat_groups(docs: DataFrame, length: int = 100, most: int = 2000) -> DataFrame:
+    """(group, length, n, doc_id, start): every maximal repeat group of at least `length` bytes with all its places.
+
+    group is the hash of the string. Strings are those around an anchor, up to length - 32 bytes before and `length` bytes
+    after its start; longer repeats come as several groups. n is the number of places. Nulls, ties and repeats are as in suffix_dedup(); an empty table has no groups.
+    Places of one anchor meet in one task: `most` bounds that, and an anchor with more is an error here.
+    """
+    rows = keyed(docs)
+    marks = rows.select("key", "tie", "text").mapInArrow(_marks(length, merged=False), MARKS)
+    counts = marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bound = F.when(F.col("n") > most, F.raise_error(F.lit("an anchor has too many places")).cast("int")).otherwise(F.lit(1))
+    places = marks.join(counts, "h").select(bound.alias("kind"), "h", "key", "tie", F.col("place").alias("a"))
+    found = _places(rows, places, 1).repartition("h").sortWithinPartitions("h").mapInArrow(_groups(length, everywhere=True), GROUPS)
+    found = found.join(rows.select("key", "tie", "doc_id"), ["key", "tie"])
+    return found.select(F.col("g").alias("group"), (F.col("before") + F.col("after")).alias("length"), "n", "doc_id", (F.col("at") - F.col("before")).alias("start")).distinct()
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -349,7 +466,7 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 4 + (pa.string(), pa.binary()), strict=True)], names=[x.split()[0] for x in OUT.split(", ")])
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, most: int = 20_000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, most: int = 2000) -> DataFrame:
     """One row of OUT for each document (doc_id, text): what is left without bytes in strings of `length` bytes that start earlier.
 
     Earlier is a smaller doc_id, or the same text and a smaller start; all is judged on the input. Null texts are empty
