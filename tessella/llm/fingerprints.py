@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWEST, read
+from .common import LOWEST, read, written
 
 BOTH, LOW = 0x0000000100000001, 0xFFFFFFFF
 LONGEST = 32  #: code points of a term that count towards its weight
@@ -107,7 +107,8 @@ def find_within(prints: DataFrame, queries: DataFrame, radius: int = 3) -> DataF
     """(query, fp, distance): all distinct fingerprints of prints (fp) within the radius of those of queries (fp).
 
     Permuted block tables: the 64 bits are cut in radius + 3 blocks; two fingerprints that differ in at most `radius` bits
-    agree in three of them at least. Each choice of three is a table keyed by those bits; a match there is verified.
+    agree in three of them at least. Each choice of three is a table keyed by those bits; a match there is verified. Null
+    fingerprints match nothing; an empty table on either side gives no rows.
     """
     size = 64 / (radius + 3)
     blocks = [sum(1 << b for b in range(round(k * size), round((k + 1) * size))) for k in range(radius + 3)]
@@ -120,9 +121,19 @@ def find_within(prints: DataFrame, queries: DataFrame, radius: int = 3) -> DataF
     return tables(queries, "query").join(tables(prints, "fp"), ["t", "bits"]).where(distance <= radius).select("query", "fp", distance.alias("distance")).distinct()
 
 
+def neighbours(rows: DataFrame, queries: DataFrame, radius: int = 3) -> DataFrame:
+    """(fp, n_within): for each distinct fingerprint of queries (fp), the rows of rows (fp) within the radius of it."""
+    held = rows.where("fp is not null").groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    return find_within(held, queries, radius).join(held, "fp").groupBy(F.col("query").alias("fp")).agg(F.sum("n").alias("n_within"))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = edited_fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Also n_within, for ids divisible by 50 (else null): the documents within three bits, found by the block tables."""
+    rows = written(edited_fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text")), "prints")
+    query = F.col("doc_id") % 50 == 0
+    found = neighbours(rows, rows.where(query)).withColumnRenamed("fp", "_query")
+    rows = rows.join(found, F.when(query, F.col("fp")) == F.col("_query"), "left")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", hex64("fp").alias("fingerprint"), hex64("edited_fp").alias("edited_fingerprint"),
-        likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"),
+        likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"), "n_within",
     )
