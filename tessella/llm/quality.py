@@ -7,12 +7,14 @@ fitted model is bin edges and tables; scoring looks up a bin for each feature an
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,17 +30,49 @@ FEATURES = ("size", "lower", "upper", "digits", "stops", "symbols", "spaces", "l
 
 
 def features(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """FEATURES of texts given as bytes end to end; all of each text is read. An empty text has zeros."""
+    """FEATURES of texts given as bytes end to end; all of each text is read. An empty text has zeros.
+
+    Texts are taken PIECE bytes at a time; one that is longer is read in pieces itself, to the same numbers.
+    """
     n = len(ends) - 1
     out = np.zeros((n, len(FEATURES)))
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(ends, ends[i] + PIECE, side="right")) - 1)
-        out[i:j] = _features(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
+        part = data[ends[i] : ends[j]]
+        out[i:j] = _features(part, ends[i : j + 1] - ends[i]) if len(part) <= PIECE else _long_features(part)
         i = j
     return out
 
 
+def _long_features(data: np.ndarray) -> np.ndarray:
+    """_features of one text, read in pieces."""
+    n, sums, kinds = len(data), np.zeros(5), np.zeros(8)  # of words: number, bytes, short, long, marked
+    hashes, doubled, before, packer, size = [], 0, None, zlib.compressobj(1), 0
+    tail = rest = b""
+    for at in range(0, n + 1, PIECE):
+        piece = data[at : at + PIECE]
+        done = at + PIECE > n
+        kinds += np.bincount(KIND[piece], minlength=8)
+        size += len(packer.compress(piece.tobytes()))
+        raw = tail + piece.tobytes()  # words by spaces, tabs and line ends
+        tail = b"" if done else raw[len(raw.rstrip(b" \t\r\n")) and max(raw.rfind(c) for c in (b" ", b"\t", b"\r", b"\n")) + 1 :]
+        words = re.findall(rb"[^ \t\r\n]+", raw[: len(raw) - len(tail)])
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        sums += (len(words), lengths.sum(), (lengths <= 3).sum(), (lengths > 12).sum(), sum(KIND[w[-1]] == 4 for w in words))
+        raw = rest + piece.tobytes()  # words by all white space
+        split = raw.split()
+        rest = b"" if done or not split or raw[-1:].isspace() else split.pop()
+        hashes.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, split), np.uint64, len(split))))
+        if split:
+            doubled += sum(map(eq, split, split[1:])) + (before == split[0])
+            before = split[-1]
+    packed = size + len(packer.flush())
+    words = max(1, sums[0])
+    distinct = len(np.unique(np.concatenate(hashes)))
+    return np.array([np.log1p(n), *(kinds / n), *(sums[1:] / words), distinct / words**0.9, doubled / words, packed / (n + 40)])
+
+
 def _features(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n, size = len(ends) - 1, np.diff(ends)
     row = np.repeat(np.arange(n), size)
@@ -170,8 +204,8 @@ def held_out(doc_id: str = "doc_id"):
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of `quality` fitted on at most `sample` labelled documents that are not held out.
 
-    Of several labels of an id the least counts; null labels and ids, and labels without a document, do not. Only whole
-    texts are looked at: no id, source or language.
+    Of several labels of an id the least counts, of several documents of an id the least text; null labels and ids, and
+    labels without a document, do not. Only whole texts are looked at: no id, source or language.
     """
     known = labels.where("quality is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -181,7 +215,9 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             x = features(*utf8(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["quality", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("quality", "text").mapInArrow(run, "quality int, x array<double>").toArrow()  # known: at most `sample` rows
+    named = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # known: at most `sample` rows
+    named = named.groupBy("doc_id").agg(F.min(F.struct("text", "quality")).alias("r")).select("r.quality", "r.text")
+    rows = named.mapInArrow(run, "quality int, x array<double>").toArrow()
     x = np.array(rows.column(1).to_pylist(), float).reshape(-1, len(FEATURES))
     y = rows.column(0).to_numpy().astype(float)
     order = np.lexsort((*x.T, y))  # the same sums whatever the order of rows
@@ -191,9 +227,10 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def classify(docs: DataFrame, model: Model, threshold: float = 0.3, keep_rejected: bool = True, scores: bool = True) -> DataFrame:
     """docs with `score` and `predicted` (1: score >= threshold); or, without scores, docs alone; rejected rows may go.
 
-    Null and empty texts are scored as texts of no bytes. Columns named score or predicted must not be there before.
-    An empty table gives no rows.
+    Null and empty texts are scored as texts of no bytes. With scores, columns of docs named score or predicted are
+    replaced. Rows stay apart whatever their ids; an empty table gives no rows.
     """
+    docs = docs.drop("score", "predicted") if scores else docs
     names = docs.columns
     at = names.index("text")
 
