@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .common import read
 
 OPEN, CLOSE, NEXT = "<s>", "</s>", "[INST]"
+STRETCH = 64  #: turns whose offsets are summed up in one array
 
 
 def escape(text: Column) -> Column:
@@ -24,6 +25,21 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def running(values: Column) -> Column:
+    """The sum of the values before each, for an array of whole numbers: sums within stretches of STRETCH, then of the
+    stretches, so that an array of n takes far less than n * n steps."""
+
+    def before(xs: Column) -> Column:
+        """The sums before each and, last, of all."""
+        start = F.array(F.lit(0).cast("long"))
+        return F.aggregate(xs, start, lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+    stretches = F.transform(F.sequence(F.lit(0), F.ceil(F.size(values) / STRETCH).cast("int") - 1), lambda k: before(F.slice(values, k * STRETCH + 1, STRETCH)))
+    bases = before(F.transform(stretches, lambda s: F.element_at(s, -1)))  # one more than stretches
+    shifted = F.zip_with(F.concat(stretches, F.array(F.array().cast("array<long>"))), bases, lambda s, b: F.transform(F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))), lambda x: x + b))
+    return F.flatten(shifted)
+
+
 def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """One row (conv_id, formatted, loss_spans) for each conversation of turns (conv_id, turn, role, text).
 
@@ -34,26 +50,33 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """
     rows = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    first = lambda i: ~F.get("ts", i - 1)["role"].eqNullSafe(F.get("ts", i)["role"])
-    pieces = F.transform(
-        "ts",
-        lambda t, i: F.struct(
-            F.when(first(i), F.concat(F.lit(OPEN), escape(t["role"]), F.lit("\n"))).otherwise(F.lit(NEXT)).alias("head"),
-            escape(t["text"]).alias("body"),
-            F.when(first(i + 1), F.lit(CLOSE)).otherwise(F.lit("")).alias("tail"),
-            (t["role"] == loss_role).alias("loss"),
-        ),
+    places = F.sequence(F.lit(0), F.size("ts") - 1)
+    begins = F.filter(places, lambda i: (i == 0) | (F.get("ts", i)["role"] != F.get("ts", i - 1)["role"]))
+    ends = F.concat(F.slice(begins, F.lit(2), F.size("ts")), F.array(F.size("ts")))
+    blocks = F.zip_with(  # adjacent turns of one role
+        begins,
+        ends,
+        lambda b, e: F.struct(F.get("ts", b)["role"].alias("role"), F.transform(F.slice("ts", b + 1, e - b), lambda t: escape(t["text"])).alias("parts")),
     )
-    chats = chats.select("conv_id", pieces.alias("ps"))
-    step = F.aggregate(
-        "ps",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + F.char_length(p["head"]) + F.char_length(p["body"]) + F.char_length(p["tail"])).cast("long").alias("at"),
-            F.when(p["loss"], F.concat(a["spans"], F.array(F.struct((a["at"] + F.char_length(p["head"])).cast("long").alias("start"), F.char_length(p["body"]).cast("long").alias("length"))))).otherwise(a["spans"]).alias("spans"),
-        ),
+    chats = chats.select("conv_id", blocks.alias("blocks"))
+    text = F.array_join(F.transform("blocks", lambda b: F.concat(F.lit(OPEN), escape(b["role"]), F.lit("\n"), F.array_join(b["parts"], NEXT), F.lit(CLOSE))), "")
+    pieces = F.flatten(  # what lies before each text, and its length
+        F.transform(
+            "blocks",
+            lambda b, k: F.transform(
+                b["parts"],
+                lambda p, i: F.struct(
+                    F.when(i > 0, len(NEXT)).otherwise(len(OPEN) + F.char_length(escape(b["role"])) + 1 + F.when(k > 0, len(CLOSE)).otherwise(0)).cast("long").alias("head"),
+                    F.char_length(p).cast("long").alias("length"),
+                    (b["role"] == loss_role).alias("loss"),
+                ),
+            ),
+        )
     )
-    return chats.select("conv_id", F.array_join(F.transform("ps", lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"), step["spans"].alias("loss_spans"))
+    chats = chats.select("conv_id", text.alias("formatted"), pieces.alias("ps"))
+    at = running(F.transform("ps", lambda p: p["head"] + p["length"]))
+    spans = F.zip_with("ps", at, lambda p, x: F.when(p["loss"], F.struct((x + p["head"]).alias("start"), p["length"].alias("length"))))
+    return chats.select("conv_id", "formatted", F.filter(spans, lambda s: s.isNotNull()).alias("loss_spans"))
 
 
 def read_back(chats: DataFrame) -> DataFrame:
