@@ -1,7 +1,7 @@
 """Benchmark decontamination: a BM25 index of the test items, searched for each training passage by block-max WAND.
 
 Items are few and the index goes to the executors; more than BLOCK bytes of them are taken in blocks, each with its own
-index and pass. Passages are overlapping windows of words over the whole text. Impacts are divided by an item's score for
+index and pass, but the term statistics are those of all items, so a block scores as one index would. Passages are overlapping windows of words over the whole text. Impacts are divided by an item's score for
 its own text, so one threshold serves items of all lengths. Frequent terms, which cannot reach a fifth of it in any item, are
 set apart: a window whose other words' largest impacts add up to the rest in no range of items needs no search. What is retrieved is verified on the words: question and answer must both be there.
 """
@@ -11,18 +11,21 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, texts
+from .common import read, texts, written
 
 K1, B = 1.2, 0.75
 POSTINGS = 32  #: postings of a block
 RANGES = 512  #: ranges of items that windows are bounded by
 BLOCK = 16 << 20  #: bytes of items for one index
+EMPTY, SPACE = b"", b" "  #: no words: the rows of counts among the terms
 TABLE = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
@@ -30,10 +33,19 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode().translate(TABLE).split()
 
 
+@dataclass(frozen=True)
+class Terms:
+    """Of all items with words: how many, their mean length, and how many hold each term."""
+
+    n: int
+    mean: float
+    held: dict[bytes, int]
+
+
 class Index:
-    """items: (id, text). Items without words are left out."""
+    """items: (id, text). Items without words are left out. terms: the statistics of more items than these."""
 
-    def __init__(self, items: list[tuple], threshold: float, overlap: float):
+    def __init__(self, items: list[tuple], threshold: float, overlap: float, terms: Terms | None = None):
         self.threshold, self.overlap = threshold, overlap
         self.ids, self.words, self.question = [], [], []
         for i, text in items:
@@ -45,9 +57,9 @@ class Index:
                 self.words.append(words)
                 self.question.append(len(words) - (answer if 0 < answer < len(words) else max(1, len(words) // 4)))
         n = len(self.ids)
-        mean = sum(map(len, self.words)) / max(1, n)
-        held = Counter(t for w in self.words for t in set(w))
-        raw = [{t: math.log(1 + (n - held[t] + 0.5) / (held[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for t, c in Counter(w).items()} for w in self.words]
+        terms = terms or Terms(n, sum(map(len, self.words)) / max(1, n), Counter(t for w in self.words for t in set(w)))
+        held, mean = terms.held, terms.mean
+        raw = [{t: math.log(1 + (terms.n - held[t] + 0.5) / (held[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for t, c in Counter(w).items()} for w in self.words]
         postings: dict[bytes, list] = {}
         for k, impacts in enumerate(raw):
             whole = sum(impacts.values())
@@ -168,29 +180,53 @@ class Index:
         return out
 
 
-def indexes(benchmark: DataFrame, threshold: float, overlap: float) -> list[Index]:
-    """Indexes of the items (item_id, text), each of at most about BLOCK bytes of text."""
+def _terms(items: DataFrame, block: Column) -> DataFrame:
+    """(term, n, blocks): how many items hold a term, and in which blocks; the counts of items and of words come as EMPTY, SPACE."""
+
+    def run(batches):
+        for b in batches:
+            found = Counter()
+            for k, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
+                words = words_of(text)
+                found.update((k, t) for t in set(words))
+                if words:
+                    found[k, EMPTY] += 1
+                    found[k, SPACE] += len(words)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([t for _, t in found], pa.binary()), pa.array(list(found.values()), pa.int64())], names=["block", "term", "n"])
+
+    each = items.select(block.cast("long").alias("block"), "text").mapInArrow(run, "block long, term binary, n long")
+    return each.groupBy("term").agg(F.sum("n").alias("n"), F.collect_set("block").alias("blocks"))
+
+
+def indexes(benchmark: DataFrame, threshold: float, overlap: float, block: int = BLOCK) -> Iterator[tuple[Index, bool]]:
+    """Indexes of the items (item_id, text), each of about `block` bytes of text, one at a time, and whether it is the last."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = size // BLOCK + 1
+    blocks = size // block + 1
     items = benchmark.select("item_id", "text").where("text is not null")
-    out = []
+    of = F.pmod(F.xxhash64("text"), F.lit(blocks))
+    terms = written(_terms(items, of), "terms") if blocks > 1 else None
+    total = {bytes(r["term"]): r["n"] for r in terms.where("term in (X'', X'20')").collect()} if blocks > 1 else {}
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()
-        out.append(Index(sorted(((r[0], r[1]) for r in rows), key=lambda r: (str(r[0]), r[1])), threshold, overlap))
-    return out
+        rows = items.where(of == k).collect()
+        stats = None
+        if terms is not None:
+            held = {bytes(r["term"]): r["n"] for r in terms.where(F.array_contains("blocks", F.lit(k).cast("long"))).select("term", "n").collect()}
+            stats = Terms(total.get(EMPTY, 0), total.get(SPACE, 0) / max(1, total.get(EMPTY, 0)), held)
+        yield Index(sorted(((r[0], r[1]) for r in rows), key=lambda r: (str(r[0]), r[1])), threshold, overlap, stats), k + 1 == blocks
 
 
 LEAKS = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.6) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.6, block: int = BLOCK) -> DataFrame:
     """A row of LEAKS for each document (doc_id, text) and each item (item_id, text) that it holds.
 
     Null and empty texts hold none and null items are not looked for; repeated rows and ids each count; an empty table
-    on either side gives no rows; other columns are not looked at. Whole texts are searched.
+    on either side gives no rows; other columns are not looked at. Whole texts are searched. With several blocks of items
+    each pass is written before the next index is made, so the driver holds one at a time.
     """
     out = None
-    for index in indexes(benchmark, threshold, overlap):
+    for index, last in indexes(benchmark, threshold, overlap, block):
 
         def run(batches, index=index):
             for b in batches:
@@ -198,20 +234,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k < 2 else pa.float64()) for k in range(6)], names=[x.split()[0] for x in LEAKS.split(", ")])
 
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, LEAKS)
+        part = part if last else written(part, "leaks")
         out = part if out is None else out.unionAll(part)
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.6) -> DataFrame:
-    """docs without the rows whose text holds an item of the benchmark."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.6, block: int = BLOCK) -> DataFrame:
+    """docs without the rows whose text holds an item of the benchmark; nulls, empties, repeats as in contaminated()."""
     at = docs.columns.index("text")
-    for index in indexes(benchmark, threshold, overlap):
+    for index, last in indexes(benchmark, threshold, overlap, block):
 
         def run(batches, index=index):
             for b in batches:
                 yield b.filter(pa.array([not index.leaks(t) for t in texts(b.column(at))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        docs = docs if last else written(docs, "clean")
     return docs
 
 
