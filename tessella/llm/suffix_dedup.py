@@ -252,16 +252,24 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], length: int):
     reach = [common(lefts[rank[r]], lefts[rank[r + 1]]) for r in range(len(rank) - 1)]
     child = [-1 - x for x in range(len(lefts))]  # the interval below the present one that a place lies in, or itself
     for number, (size, members) in enumerate(intervals(rights, ANCHOR)):
+        if len(members) == 2:
+            x, y = members
+            if child[x] != child[y] and (before := common(lefts[x], lefts[y])) + size >= length:
+                yield before, size, members
+            child[x] = child[y] = number
+            continue
         members = sorted(members, key=position.__getitem__)
         gaps = [min(reach[position[x] : position[y]]) if position[y] - position[x] < 9 else common(lefts[x], lefts[y]) for x, y in zip(members, members[1:], strict=False)]
+        least = length - size
         stack: list[tuple[int, int]] = []  # common text to the left, first place
-        for r, gap in enumerate([*gaps, -1], 1):
+        for r, gap in enumerate([*gaps, -1] if max(gaps) >= least else (), 1):
             begin = r - 1
             while stack and stack[-1][0] > gap:
                 before, begin = stack.pop()
-                if len({child[x] for x in members[begin:r]}) > 1:
+                one = child[members[begin]]
+                if any(child[x] != one for x in members[begin + 1 : r]):
                     yield before, size, members[begin:r]
-            if gap + size >= length and (not stack or stack[-1][0] < gap):
+            if gap >= least and (not stack or stack[-1][0] < gap):
                 stack.append((gap, begin))
         for x in members:
             child[x] = number
@@ -313,8 +321,7 @@ def _groups(length: int, everywhere: bool = False):
                     continue
                 places = [tuple(x) for x in place[i:j].tolist()]
                 for before, after, members in maximal_repeats(left[i:j], right[i:j], length):
-                    members = sorted(set(members), key=places.__getitem__)
-                    members = [x for k, x in enumerate(members) if not k or places[x] != places[members[k - 1]]]
+                    members = sorted(members, key=places.__getitem__)
                     if len(members) > 1:
                         x = i + members[0]
                         string = left[x][:before][::-1] + right[x][:after]
@@ -336,17 +343,27 @@ def _rows_of(rows: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _covered(length: int):
-    """From the same: the spans (key, tie, s, e) of all places of a group but the earliest."""
+    """From CONTEXTS sorted by h: the spans (key, tie, s, e) of all places of a maximal repeat group but the earliest."""
 
     def run(batches):
-        for b in _groups(length)(batches):
-            before, after, n, key, tie, at = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns[1:])
-            rest = np.ones(len(n), bool)
-            k = 0
-            while k < len(n):  # groups come whole
-                rest[k] = False
-                k += n[k]
-            cols = _spans(key[rest], tie[rest], (at - before)[rest], (at + after)[rest])
+        for b in groups(batches, 1):
+            h = b.column(0).to_numpy(zero_copy_only=False)
+            place = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)], axis=1)
+            left, right = b.column(4).to_pylist(), b.column(5).to_pylist()
+            found: list[tuple[int, int, int]] = []  # row, bytes before and after
+            cuts = run_starts(h).tolist()
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if j - i < 2:
+                    continue
+                order = [0] * (j - i)
+                for r, x in enumerate(np.lexsort(place[i:j].T[::-1]).tolist()):
+                    order[x] = r
+                for before, after, members in maximal_repeats(left[i:j], right[i:j], length):
+                    first = min(members, key=order.__getitem__)
+                    found += [(i + x, before, after) for x in members if x != first]
+            row, before, after = np.array(found, np.int64).reshape(-1, 3).T
+            key, tie, at = place[row].T if len(row) else np.zeros((3, 0), np.int64)
+            cols = _spans(key, tie, at - before, at + after)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "tie", "s", "e"])
 
     return run
@@ -397,17 +414,17 @@ def _places(docs: DataFrame, known: DataFrame, kind: int) -> DataFrame:
     return docs.select("key", "tie", "text").join(places, ["key", "tie"]).mapInArrow(_contexts(), CONTEXTS)
 
 
-def _crowded(docs: DataFrame, known: DataFrame, length: int, most: int) -> tuple[DataFrame, DataFrame]:
+def _crowded(docs: DataFrame, known: DataFrame, length: int, full: int) -> tuple[DataFrame, DataFrame]:
     """For places of anchors with more than `most`: contexts to be grouped by their h, which is a sub-key now; and those of
-    sub-keys with more than `most` again."""
+    sub-keys with more than `full`."""
     contexts = written(_places(docs, known, 2).mapInArrow(_subkeys(length), f"{CONTEXTS}, subs array<long>"), "crowded")
     each = contexts.select(F.explode("subs").alias("sub"), "key", "tie", "at", "left", "right")
-    full = written(each.groupBy("sub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("sub"), "full")
-    few = each.join(full, "sub", "left_anti").withColumnRenamed("sub", "h")
-    return few.select("h", "key", "tie", "at", "left", "right"), each.join(full, "sub", "left_semi").withColumnRenamed("sub", "h").dropDuplicates(["key", "tie", "at"])
+    over = written(each.groupBy("sub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > full).select("sub"), "full")
+    few = each.join(over, "sub", "left_anti").withColumnRenamed("sub", "h")
+    return few.select("h", "key", "tie", "at", "left", "right"), each.join(over, "sub", "left_semi").withColumnRenamed("sub", "h").dropDuplicates(["key", "tie", "at"])
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, most: int = 2000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 100, most: int = 5000, full: int = 20_000) -> DataFrame:
     """(key, tie, s, e): byte spans of the rows of keyed(docs) that hold only strings of `length` bytes which start earlier."""
     if not ANCHOR < length <= 255:
         raise ValueError(f"length must be from {ANCHOR + 1} to 255")
@@ -416,7 +433,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, most: int = 2000) -> Data
     spans = known.where("kind = 0").select("key", "tie", F.col("a").alias("s"), F.col("b").alias("e"))
     near = _places(docs, known, 1)
     if not known.where("kind = 2").isEmpty():
-        few, many = _crowded(docs, known, length, most)
+        few, many = _crowded(docs, known, length, full)
         near = near.unionByName(few)
         strings = many.select("h", "key", "tie", "at", "left", "right").mapInArrow(_strings(length), "x long, y long, key long, tie long, s long")
         first = strings.groupBy("x", "y").agg(F.min(F.struct("key", "tie", "s")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -424,7 +441,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, most: int = 2000) -> Data
     return spans.union(near.repartition("h").sortWithinPartitions("h").mapInArrow(_covered(length), "key long, tie long, s long, e long"))
 
 
-def repeat_groups(docs: DataFrame, length: int = 100, most: int = 2000) -> DataFrame:
+def repeat_groups(docs: DataFrame, length: int = 100, most: int = 20_000) -> DataFrame:
     """(group, length, n, doc_id, start): every maximal repeat group of at least `length` bytes with all its places.
 
     group is the hash of the string. Strings are those around an anchor, up to length - 32 bytes before and `length` bytes
@@ -466,7 +483,7 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 4 + (pa.string(), pa.binary()), strict=True)], names=[x.split()[0] for x in OUT.split(", ")])
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, most: int = 2000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, most: int = 5000, full: int = 20_000) -> DataFrame:
     """One row of OUT for each document (doc_id, text): what is left without bytes in strings of `length` bytes that start earlier.
 
     Earlier is a smaller doc_id, or the same text and a smaller start; all is judged on the input. Null texts are empty
@@ -474,7 +491,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, most: int = 2000) -> DataFr
     Other columns are not looked at. `kept` is bytes, as a cut can divide a character.
     """
     rows = keyed(docs)
-    spans = repeated_spans(rows, length, most).groupBy("key", "tie").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = repeated_spans(rows, length, most, full).groupBy("key", "tie").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     return rows.join(spans, ["key", "tie"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, OUT)
 
 
