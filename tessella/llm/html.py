@@ -3,7 +3,7 @@
 A page is cut into leaf blocks of text, each with the path of elements above it. A block's vector holds its hashed tag
 path (names, classes and ids), hashed words and a few shares; two LSTMs in numpy read the sequence from either end, so
 each label depends on the whole page. The model is trained once a process on pages made by a generator with a fixed seed
-whose labels are known; it has about 40,000 numbers, whatever the data, and goes with the tasks.
+whose labels are known (made_pages); it has about 75,000 numbers, whatever the data, and goes with the tasks.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, texts
+from .made_pages import MAIN, SIDE, made_page
 
 # Fixed values of HTML: elements that begin and end blocks, that have no content, and whose content is not text.
 BLOCKS = frozenset(
@@ -31,7 +32,8 @@ SILENT = frozenset("script style title noscript template svg iframe object texta
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>""")
 ANY = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 MARKED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-PATH, WORDS, SHARES = 96, 32, 10
+PATH, WORDS, SHARES = 256, 96, 12
+DROPPED = 0.15  #: share of hashed tokens and words that training leaves out
 HIDDEN = 24
 
 
@@ -108,6 +110,7 @@ def _slot(word: str, size: int) -> int:
 
 def vectors(blocks: list) -> np.ndarray:
     out = np.zeros((len(blocks), PATH + WORDS + SHARES), np.float32)
+    largest = max((len(t) for t, _, _ in blocks), default=1)
     for k, (text, path, linked) in enumerate(blocks):
         for token in path:
             out[k, _slot(token, PATH)] = 1
@@ -120,6 +123,7 @@ def vectors(blocks: list) -> np.ndarray:
         out[k, PATH + WORDS :] = (
             min(1, np.log1p(n) / 8), min(1, linked / n), min(1, len(text.split(None, 40)) / 40), text[-1] in ".!?:;\"'", text[:1].isupper(),
             (k + 1) / len(blocks), min(1, k / 20), min(1, (len(blocks) - k) / 20), "©" in text, min(1, len(path) / 12),
+            min(1, sum(text.count(c) for c in ",.;:") / (1 + n / 40)), n / largest,
         )
     return out
 
@@ -211,87 +215,6 @@ def padded(pages: list[np.ndarray], labels: list | None = None):
     return x, mask, y
 
 
-MAIN, SIDE = "\ue000", "\ue001"  # marks that the generator puts before the text of a block
-
-
-def made_page(rng: np.random.Generator) -> str:
-    """A page of random words in a random layout; each block of main text begins with MAIN, each other with SIDE."""
-    pick = lambda *xs: xs[int(rng.integers(len(xs)))]
-    chance = lambda p: rng.random() < p
-    letters = "abcdefghijklmnopqrstuvwxyzéèüöñçß"
-    word = lambda: "".join(letters[int(k)] for k in rng.integers(0, len(letters), int(rng.integers(1, 12))))
-    junk = pick("", "", "", "###", "&amp;&amp;", "%%%", "!!")
-
-    def said(low: int, high: int, mark: str) -> str:
-        words = [word() + (junk if junk and chance(0.7) else pick("", "", "", "", ",", ".")) for _ in range(int(rng.integers(low, high)))]
-        return mark + " ".join(words).capitalize() + pick(".", ".", ".", "", "!")
-
-    def attr(*names: str) -> str:
-        return f' {pick("class", "class", "id")}="{pick(*names)}"' if names else ""
-
-    def links(n: int) -> str:
-        return "".join(f'<li><a href="/{word()}">{SIDE}{" ".join(word() for _ in range(int(rng.integers(1, 4))))}</a></li>' for _ in range(n))
-
-    def inner(low: int, high: int) -> str:
-        text = said(low, high, MAIN)
-        if chance(0.2):
-            text = text.replace(" ", " <a href='/x'>", 1) + "</a>"
-        if chance(0.3):
-            text = text.replace(MAIN, f"{pick('<b>', '<em>', '<strong>', '<span>')}{MAIN}", 1)
-        return text
-
-    def side(kind: str) -> str:
-        if kind == "nav":
-            return f"<{(t := pick('nav', 'div', 'ul', 'header'))}{attr('menu', 'nav', 'navigation', 'main-nav', 'topbar', 'breadcrumbs') if t != 'nav' or chance(0.3) else ''}>{'<ul>' if t != 'ul' else ''}{links(int(rng.integers(2, 9)))}{'</ul>' if t != 'ul' else ''}</{t}>"
-        if kind == "header":
-            return f"<header{attr('site-header', 'header', 'masthead') if chance(0.6) else ''}>{pick('<h1>', '<div>', '<p>')}{said(1, 5, SIDE)}</{pick('h1', 'div', 'p')}></header>"
-        if kind == "ad":
-            return f"<{(t := pick('div', 'div', 'aside', 'section', 'p'))}{attr('ad', 'ads', 'advert', 'promo', 'sponsored', 'banner ad', 'ad-slot')}>{pick('', '<p>')}{said(2, 25, SIDE)}</{t}>"
-        if kind == "notice":
-            return f"<div{attr('notice', 'cookie-notice', 'cookie-banner', 'consent', 'alert', 'gdpr', 'popup')}>{pick('', '<p>')}{said(4, 25, SIDE)}{pick('', f'<button>{SIDE}ok</button>')}</div>"
-        if kind == "sidebar":
-            return f"<{(t := pick('aside', 'div', 'aside'))}{attr('sidebar', 'side', 'widget', 'related', 'right-column') if t != 'aside' or chance(0.4) else ''}><h3>{said(1, 4, SIDE)}</h3>" + (f"<ul>{links(int(rng.integers(2, 7)))}</ul>" if chance(0.6) else f"<p>{said(5, 40, SIDE)}</p>") + f"</{t}>"
-        if kind == "form":
-            return f"<form{attr('search', 'newsletter', 'subscribe', 'login') if chance(0.6) else ''}><label>{said(1, 5, SIDE)}</label><input name=q><p>{said(2, 15, SIDE)}</p><button>{SIDE}go</button></form>"
-        if kind == "comments":
-            t = pick("div", "section", "ol")
-            one = lambda: f"<{pick('div', 'li')}{attr('comment', 'comment-body', 'reply')}><p>{said(3, 40, SIDE)}</p></{pick('div', 'li')}>"
-            return f"<{t}{attr('comments', 'comment-list', 'commentlist', 'discussion', 'responses')}>{pick('', f'<h3>{said(1, 4, SIDE)}</h3>')}{''.join(one() for _ in range(int(rng.integers(1, 6))))}</{t}>"
-        if kind == "share":
-            return f"<div{attr('share', 'social', 'tags', 'meta', 'byline', 'share-buttons')}>{said(1, 5, SIDE)}</div>"
-        return f"<footer{attr('footer', 'site-footer') if chance(0.4) else ''}>{pick('', '<p>')}{SIDE}{pick('&copy; ', '', '&#169; ')}{said(2, 14, '')}{pick('', ' &middot; ' + word())}</footer>" if chance(0.8) else f"<div{attr('footer', 'copyright', 'bottom')}>{said(3, 14, SIDE)}</div>"
-
-    tag, mark = pick(("article", ""), ("article", ""), ("article", attr("post", "entry", "article", "story")), ("main", ""), ("main", attr("content", "main")), ("div", attr("content", "article", "post-content", "entry-content", "article-body", "story", "main", "text")), ("section", attr("article", "content", "post")))
-    body = []
-    if chance(0.9):
-        body.append(f"<h1>{said(2, 12, MAIN)}</h1>")
-    for _ in range(int(rng.integers(1, pick(4, 12, 26)))):
-        r = rng.random()
-        if r < 0.72:
-            body.append(f"<p>{inner(1, pick(6, 40, 150))}" + pick("</p>", "</p>", "</p>", "<br>", ""))
-        elif r < 0.80:
-            body.append(f"<h{(k := pick(2, 3))}>{said(1, 8, MAIN)}</h{k}>")
-        elif r < 0.87:
-            body.append("<ul>" + "".join(f"<li>{inner(2, 20)}</li>" for _ in range(int(rng.integers(1, 6)))) + "</ul>")
-        elif r < 0.91:
-            body.append(f"<blockquote>{pick('', '<p>')}{said(4, 40, MAIN)}</blockquote>")
-        elif r < 0.94:
-            body.append("<table>" + "".join(f"<tr><td>{said(1, 4, MAIN)}</td><td>{said(1, 4, MAIN)}</td></tr>" for _ in range(int(rng.integers(1, 4)))) + "</table>")
-        elif r < 0.96:
-            body.append(f"<div>{said(4, 40, MAIN)}</div>")
-        else:
-            body.append(side(pick("ad", "share", "sidebar", "notice", "form")))
-    main = f"<{tag}{mark}>{''.join(body)}</{tag}>"
-    before = [side(k) for k in ("header", "nav", "notice", "ad", "form", "sidebar") if chance(0.4)]
-    after = [side(k) for k in ("share", "comments", "sidebar", "ad", "form", "nav", "notice", "footer") if chance(0.4)]
-    if chance(0.4):
-        after = [*(side(k) for k in ("comments", "sidebar") if chance(0.3)), side("footer")]
-    rng.shuffle(before)
-    wrap = pick(("", ""), ("", ""), ('<div class="container">', "</div>"), ('<div id="page"><div class="row">', "</div></div>"))
-    html = f"<!DOCTYPE html><html><head><title>{word()}</title><style>p{{}}</style></head><body>{wrap[0]}{''.join(before)}{main}{''.join(after)}{wrap[1]}</body></html>"
-    return html[: int(rng.integers(len(html) // 3, len(html)))] if chance(0.12) else html
-
-
 def training(n: int, seed: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     rng, pages, labels = np.random.default_rng(seed), [], []
     while len(pages) < n:
@@ -304,7 +227,7 @@ def training(n: int, seed: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
 
 
 @lru_cache(maxsize=1)
-def trained(n: int = 1500, rounds: int = 5, seed: int = 11) -> Labeller:
+def trained(n: int = 2000, rounds: int = 6, seed: int = 11) -> Labeller:
     """The labeller, fitted by Adam on n made pages; the same numbers in every process."""
     pages, labels = training(n, seed)
     net, rng = Labeller(), np.random.default_rng(seed)
@@ -313,7 +236,9 @@ def trained(n: int = 1500, rounds: int = 5, seed: int = 11) -> Labeller:
     parts = [order[k : k + 32] for k in range(0, n, 32)]
     for r in range(rounds):
         for k in rng.permutation(len(parts)):
-            grad = net.slopes(*padded([pages[i] for i in parts[k]], [labels[i] for i in parts[k]]))
+            x, mask, y = padded([pages[i] for i in parts[k]], [labels[i] for i in parts[k]])
+            x[:, :, : PATH + WORDS] *= rng.random((*x.shape[:2], PATH + WORDS), np.float32) >= DROPPED
+            grad = net.slopes(x, mask, y)
             step += 1
             rate = 0.01 if r < rounds - 2 else 0.003
             for name, g in grad.items():

@@ -49,14 +49,14 @@ def removed(docs, length):
     return out
 
 
-@pytest.mark.parametrize("most", [2000, 20, 3])
-def test_suffix_dedup(spark, most):
+@pytest.mark.parametrize(("most", "full"), [(5000, 5000), (20, 30), (3, 5000), (3, 3)])
+def test_suffix_dedup(spark, most, full):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 8))) for _ in range(40)]
     parts = [" ".join(rng.choice(words) for _ in range(rng.randint(5, 60))) for _ in range(12)]
     rows = [(k, " ".join(rng.choice(parts) if rng.random() < 0.6 else rng.choice(words) for _ in range(rng.randint(1, 9)))) for k in range(60)]
     rows += [(100, None), (101, ""), (102, "a" * 400), (103, "ab" * 200), (104, rows[3][1]), (105, rows[3][1][5:])]
-    got = {r[0]: tuple(r[1:5]) for r in suffix_dedup.suffix_dedup(frame(spark, rows), 100, most).collect()}
+    got = {r[0]: tuple(r[1:5]) for r in suffix_dedup.suffix_dedup(frame(spark, rows), 100, most, full).collect()}
     assert got == removed(rows, 100)
 
 
@@ -394,6 +394,26 @@ def test_html_on_pages_of_the_generator():
     assert wrong / sum(map(len, ys)) < 0.02
 
 
+def test_html_on_pages_written_by_hand():
+    from tests.llm.pages import PAGES
+
+    right = total = 0
+    for page in PAGES.values():
+        marked = html.blocks_of(page)
+        blocks = [(t.replace("[[", "").replace("]]", ""), p, n) for t, p, n in marked]
+        sure = html.trained().label([html.vectors(blocks)])[0]
+        right += sum((s >= 0.5) == ("[[" in t) for s, (t, _, _) in zip(sure, marked, strict=True))
+        total += len(marked)
+    assert total > 100 and right / total >= 0.95
+
+
+def test_html_of_given_pages():
+    """The blocks of the article and no others, on all pages of a table."""
+    pages = [h for (h,) in duckdb.sql(f"SELECT html FROM '{DATA}/sf0.01/pages.parquet'").fetchall()]
+    for page, got in zip(pages, html.main_texts(html.trained(), pages), strict=True):
+        assert got == "\n\n".join(t for t, path, _ in html.blocks_of(page) if "article" in path)
+
+
 def test_html_vectors_see_whole_blocks():
     words = [f"w{k}" for k in range(400)]
     path = tuple(f".c{k}" for k in range(80))
