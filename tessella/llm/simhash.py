@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,48 +29,74 @@ from .common import LOWEST, components, discard, groups, read, run_starts, texts
 
 SPREAD = np.array([int.from_bytes(bytes((b >> k) & 1 for k in range(8)), "little") for b in range(256)], np.uint64)
 STEP = 200_000  # shingles at a time
+PAIRS = 1 << 17  # pairs of fingerprints or sets that are compared at a time
+ROWS = 1000  # texts at a time
 PIVOTS = 24
 
 
-def shingle_hashes(data: bytes, words: int) -> np.ndarray:
-    """XXH64 (seed 42) of each run of `words` words, lower case A-Z, repeats included; of all words if there are fewer."""
-    split = data.lower().split()  # at bytes 9 to 13 and 32
-    if not split:
-        return np.zeros(0, np.uint64)
+PIECE = 1 << 20  #: bytes of a text that are cut into words at a time
+
+
+def _runs(split: list[bytes], words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of `words` words, of which there are as many at least."""
     plain = b" ".join(split)
     ends = np.cumsum([len(w) + 1 for w in split]) - 1
-    starts = np.append(0, ends[:-1] + 1)
-    n = max(1, len(split) - words + 1)
-    ends = ends[min(words, len(split)) - 1 :]
+    starts = np.append(0, ends[:-1] + 1)[: len(split) - words + 1]
     digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(plain[s:e], 42) for s, e in zip(starts[:n].tolist(), ends.tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((digest(plain[s:e], 42) for s, e in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def shingle_pieces(data: bytes, words: int) -> Iterator[np.ndarray]:
+    """shingle_hashes of a text, piece by piece: a long one is never held as words."""
+    held, tail, some = [], b"", False
+    for at in range(0, len(data), PIECE):
+        raw = tail + data[at : at + PIECE].lower()
+        split = raw.split()  # at bytes 9 to 13 and 32
+        tail = b"" if at + PIECE >= len(data) or not split or raw[-1:].isspace() else split.pop()
+        held += split
+        if len(held) >= words:
+            yield _runs(held, words)
+            held, some = held[len(held) - words + 1 :], True
+    if held and not some:
+        yield _runs(held, len(held))
+
+
+def shingle_hashes(data: bytes, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of `words` words, lower case A-Z, repeats included; of all words if there are fewer."""
+    parts = list(shingle_pieces(data, words))
+    return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint64), *parts])
 
 
 def fingerprint(data: bytes, words: int = 3) -> int:
     """Bit k is 1 if it is set in more than half of the shingle hashes; no words: 0."""
-    h = shingle_hashes(data, words)
-    return fold(h) if len(h) else 0
+    return fold(shingle_pieces(data, words))
+
+
+def fold(parts: Iterable[np.ndarray]) -> int:
+    counts, n = np.zeros(64, np.int64), 0
+    for h in parts:
+        n += len(h)
+        for at in range(0, len(h), STEP):
+            part = h[at : at + STEP].view(np.uint8).reshape(-1, 8)
+            for k in range(8):  # eight byte-wide counters in a word, 255 rows at most before they overflow
+                spread = SPREAD[part[:, k]]
+                sums = np.add.reduceat(spread, np.arange(0, len(spread), 255))
+                counts[8 * k : 8 * k + 8] += sums.view(np.uint8).reshape(-1, 8).sum(0, dtype=np.int64)
+    return int(sum(1 << k for k in np.flatnonzero(counts * 2 > n).tolist()))
 
 
-def fold(h: np.ndarray) -> int:
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(h), STEP):
-        part = h[at : at + STEP].view(np.uint8).reshape(-1, 8)
-        for k in range(8):  # eight byte-wide counters in a word, 255 rows at most before they overflow
-            spread = SPREAD[part[:, k]]
-            sums = np.add.reduceat(spread, np.arange(0, len(spread), 255))
-            counts[8 * k : 8 * k + 8] += sums.view(np.uint8).reshape(-1, 8).sum(0, dtype=np.int64)
-    return int(sum(1 << k for k in np.flatnonzero(counts * 2 > len(h)).tolist()))
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    return (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp long) for each row of docs (doc_id, text)."""
+    """(doc_id, fp long) for each row of docs (doc_id, text). Null and empty texts have 0, repeated rows and ids stay, an
+    empty table gives no rows, and other columns are not looked at."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             data, ends = utf8(b.column(1))
-            raw = data.tobytes()
-            fps = np.array([fingerprint(raw[s:e], words) for s, e in itertools.pairwise(ends.tolist())], np.uint64)
+            fps = np.array([fingerprint(data[s:e].tobytes(), words) for s, e in itertools.pairwise(ends.tolist())], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
@@ -100,7 +127,7 @@ def linked_pairs(fps: np.ndarray, radius: int, group: np.ndarray | None = None):
     start = 0
     while start < n:
         size = np.cumsum(upto[start:] - np.arange(start, n) - 1)
-        end = start + max(1, int(np.searchsorted(size, 1 << 20, side="right")))
+        end = start + max(1, int(np.searchsorted(size, PAIRS, side="right")))
         many = upto[start:end] - np.arange(start, end) - 1
         i = np.repeat(np.arange(start, end), many)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
@@ -189,9 +216,9 @@ def near_classes(prints: DataFrame, radius: int = 2, most: int = 3000) -> DataFr
 NEAREST = 4  #: fingerprints that one is paired with under a choice of bits, besides the one of the least id
 FIRST = 12  #: choices of bits of the first round; the exact round looks only for links between its components
 SKETCH = 64  #: least shingle hashes that a text of the first round is compared by
-COMMON = 3  #: least count of a shingle in a stretch of texts for it to be counted there
+COMMON = 2  #: least count of a shingle in a stretch of texts for it to be counted there
 STRETCH = 1 << 21  #: shingles of a stretch
-SHOWN = 1 << 18  #: common shingles that set the order; the others count as unseen
+SHOWN = 1 << 19  #: common shingles that set the order; the others count as unseen
 BITS = 256  #: bits of the parities of a text's shingles
 HELD = 1 << 20  #: ids of texts that are sent to all tasks at most
 PRINTS = "doc_id long, t long, fp long, sketch binary, n int, prefix array<long>, b0 long, b1 long, b2 long, b3 long"
@@ -202,17 +229,20 @@ def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
     A task counts its texts in stretches of STRETCH shingles and gives those of COMMON texts at least, so a shingle of a
     large share of all texts is in some stretch of some task. The counts set an order only: whatever they are, no link is
-    lost. The SHOWN most frequent are kept, 4 MB at most.
+    lost. The SHOWN most frequent are kept, 8 MB at most.
     """
 
     def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
-        h, count = np.unique(np.concatenate(parts), return_counts=True)
-        often = count >= COMMON
-        return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(count[often].astype(np.int64))], names=["h", "n"])
+        h = np.concatenate(parts)
+        h.sort()
+        cuts = run_starts(h)
+        count = np.diff(cuts)
+        often = np.flatnonzero(count >= COMMON)
+        return pa.RecordBatch.from_arrays([pa.array(h[cuts[often]].view(np.int64)), pa.array(count[often].astype(np.int64))], names=["h", "n"])
 
     def run(batches):
         held, size = [], 0
-        for b in batches:
+        for b in sliced(batches):
             data, ends = utf8(b.column(0))
             for s, e in itertools.pairwise(ends.tolist()):
                 held.append(np.unique(shingle_hashes(data[s:e].tobytes(), words)))
@@ -245,16 +275,16 @@ def _sketches(words: int, common: tuple[np.ndarray, np.ndarray], similarity: flo
     hashes, ascending), n (the number of distinct ones), prefix, and the parities of the numbers of hashes by their last bits."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             data, ends = utf8(b.column(1))
-            raw, t, fp, sketch, n, rare = data.tobytes(), [], [], [], [], []
+            t, fp, sketch, n, rare = [], [], [], [], []
             parity = np.zeros((b.num_rows, BITS // 8), np.uint8)
             for k, (s, e) in enumerate(itertools.pairwise(ends.tolist())):
-                text = raw[s:e]
+                text = data[s:e].tobytes()
                 h = shingle_hashes(text, words)
                 u = np.unique(h)
                 t.append(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 7) - (1 << 63))
-                fp.append(fold(h) if len(h) else 0)
+                fp.append(fold([h]) if len(h) else 0)
                 sketch.append(u[:SKETCH].tobytes())
                 n.append(len(u))
                 rare.append(prefix(u, common, similarity).view(np.int64) if len(u) else np.zeros(0, np.int64))
@@ -295,7 +325,7 @@ def _windows(token: np.ndarray, comp: np.ndarray, n: np.ndarray, most: np.ndarra
         total = np.append(0, np.cumsum(many))
         start = 0
         while start < len(a):
-            end = max(start + 1, int(np.searchsorted(total, total[start] + (1 << 20), side="right")) - 1)
+            end = max(start + 1, int(np.searchsorted(total, total[start] + PAIRS, side="right")) - 1)
             part = many[start:end]
             i = np.repeat(a[start:end], part)
             j = b[np.repeat(low[start:end] - (np.cumsum(part) - part), part) + np.arange(len(i))]
@@ -328,8 +358,10 @@ def _meeting(similarity: float):
                 i, j = i[good], j[good]
                 found.append(np.unique(np.stack([np.maximum(rep[i], rep[j]), np.minimum(rep[i], rep[j])]), axis=1))
                 if sum(x.shape[1] for x in found) > 1 << 20:
-                    yield _pairs(found)
-                    found = [np.zeros((2, 0), np.int64)]
+                    found = [np.unique(np.concatenate(found, axis=1), axis=1)]
+                    if found[0].shape[1] > 1 << 19:
+                        yield _pairs(found)
+                        found = [np.zeros((2, 0), np.int64)]
             yield _pairs(found)
 
     return run
@@ -385,7 +417,7 @@ def _verified(words: int, similarity: float):
     """From rows a, b, x, y (two texts): a, b where the shingle sets are that similar."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 200):
             good = []
             for x, y in zip(texts(batch.column(2)), texts(batch.column(3)), strict=True):
                 p, q = (np.unique(shingle_hashes(t.encode(), words)) for t in (x, y))
@@ -422,7 +454,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
 
     def of_pairs(pairs, table, value):
         """a, b and the values x, y of both. Only the rows that a pair has go on; a shuffle deals no others."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
         kept = table.join(F.broadcast(ids) if ids.count() <= HELD else ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(value).alias(value))
         return pairs.join(kept.toDF("a", "x"), "a").join(kept.toDF("b", "y"), "b").select("a", "b", "x", "y")
 
@@ -455,8 +487,9 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
     classes = near_duplicates(docs.select(key.alias("key"), "text"), words, similarity)
-    kept = classes.where("key = component").select(F.col("key").alias("_kept_key")).distinct()
-    return docs.join(kept, key == F.col("_kept_key"), "left_semi")
+    kept = classes.where("key = component").select("key").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"))  # so no name of docs can clash
+    return rows.join(kept, "key", "left_semi").select("row.*")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
