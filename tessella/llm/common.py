@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import components
+from ..operators.graph import components, numbered
 from ..plans.lineage import discard, written
 
 __all__ = ["LOWEST", "components", "discard", "groups", "keyed", "read", "run_starts", "texts", "utf8", "written"]
@@ -77,12 +77,13 @@ def run_starts(*columns: np.ndarray) -> np.ndarray:
 LOWEST = -(1 << 63)
 
 
-def keyed(docs: DataFrame, text: bool = True) -> DataFrame:
+def keyed(docs: DataFrame) -> DataFrame:
     """(key, tie, doc_id, text): key is doc_id (null: the lowest long) and (key, tie) tells every row from the others.
 
-    tie is 0 unless a doc_id comes more than once; then rows of one doc_id are numbered in the order of their texts.
+    tie is 0 unless a doc_id comes more than once; then rows are numbered in the order of key and text, by ranges, so rows
+    of one id (or of none) need not meet in one task.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     if rows.groupBy("key").count().where("count > 1").isEmpty():
         return rows.select("key", F.lit(0).cast("long").alias("tie"), "doc_id", "text")
-    return rows.select("key", (F.row_number().over(Window.partitionBy("key").orderBy("text")) - 1).cast("long").alias("tie"), "doc_id", "text")
+    return numbered(rows, ["key", "text"], "tie").select("key", "tie", "doc_id", "text")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,29 +50,52 @@ def fold(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     return found.select(*keys, fp.alias("fp"))
 
 
+def _bucket(edges: list[tuple[int, int]]) -> tuple[Column, Column]:
+    """The number of the last of sorted edges that is not above (key, h) of a row, and the array of the edges."""
+    if not edges:
+        return F.lit(0), F.array().cast("array<struct<key:bigint,h:bigint>>")
+    held = F.arrays_zip(*[F.lit([e[k] for e in edges]).cast("array<bigint>").alias(c) for k, c in enumerate(("key", "h"))])
+    own = F.struct("key", "h")
+    steps = F.array(*[F.lit(1 << k) for k in range(len(edges).bit_length(), -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda p, s: F.when(F.get(held, p + s) <= own, p + s).otherwise(p)), held
+
+
+def _edges(rows: DataFrame, n: int) -> list[tuple[int, int]]:
+    """(key, h) of the first row of each of about n ranges of rows (key, h), at most 2 * n.
+
+    Ranges are cut at approximate percentiles of the keys; a key that fills several is cut between its values of h.
+    """
+    low, cuts = rows.agg(F.min("key"), F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], max(10_000, 4 * n))).first()
+    if low is None:
+        return []
+    many = Counter([low, *(cuts if n > 1 else ())])
+    inside, most = {}, max(many.values())
+    if most > 1:
+        large = [k for k, m in many.items() if m > 1]
+        found = rows.where(F.col("key").isin(large)).groupBy("key").agg(F.percentile_approx("h", [i / most for i in range(1, most)], max(10_000, 4 * n)).alias("hs"))
+        inside = {r["key"]: r["hs"][:: max(1, most // many[r["key"]])] for r in found.collect()}  # at most n cuts in all
+    about = sorted({(k, h) for k in many for h in [LOWEST, *inside.get(k, [])]})
+    firsts = rows.groupBy(_bucket(about)[0].alias("bucket")).agg(F.min(F.struct("key", "h")).alias("first")).select("first.*")
+    return sorted((r["key"], r["h"]) for r in firsts.collect())  # one for each range
+
+
 def in_sequence(docs: DataFrame, rows_each: int = 4000) -> DataFrame:
-    """(bucket, rn, ghost, doc_id, text, next): the text of the next row in the order of doc_id and text; the first follows the last.
+    """(bucket, rn, ghost, doc_id, text, next): the text of the next row in the order of doc_id; the first follows the last.
 
-    Buckets are ranges of ids of about rows_each rows, so no task gets all rows; the first row of a bucket comes again
-    at the end of the bucket before, as a ghost. Null ids come first, null texts are empty.
+    Rows of one id are in the order of their texts' hashes, then of the texts. Buckets are ranges of about rows_each rows,
+    so no task gets all rows; the first row of a bucket comes again at the end of the bucket before, as a ghost. Null ids
+    come first, null texts are empty.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
-    ids = docs.select(key.alias("key"))
-    n = min(1 << 16, max(1, math.ceil(ids.count() / rows_each)))
-    if n > 1:
-        cuts = ids.agg(F.min("key"), F.percentile_approx("key", [i / n for i in range(1, n)], max(10_000, 4 * n))).first()
-        cuts = sorted({cuts[0], *cuts[1]})  # at most 65,536 ids
-    else:
-        cuts = [x for x in ids.agg(F.min("key")).first() if x is not None]
-    edges = F.lit(cuts) if cuts else F.array().cast("array<bigint>")
-    steps = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length(), -1, -1)])
-    at = F.aggregate(steps, F.lit(0), lambda p, s: F.when(F.get(edges, p + s) <= key, p + s).otherwise(p))
-    rows = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), at.alias("bucket"))
-    before = F.when(F.col("bucket") == 0, len(cuts) - 1).otherwise(F.col("bucket") - 1)
-    head = F.get(edges, F.col("bucket")) == F.col("key")
+    key, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), F.coalesce("text", F.lit(""))
+    ids = docs.select(key.alias("key"), F.xxhash64(text).alias("h"))
+    edges = _edges(ids, min(1 << 16, max(1, math.ceil(ids.count() / rows_each))))
+    at, held = _bucket(edges)
+    rows = docs.select(key.alias("key"), F.xxhash64(text).alias("h"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("bucket", at)
+    before = F.when(F.col("bucket") == 0, len(edges) - 1).otherwise(F.col("bucket") - 1)
+    head = F.get(held, F.col("bucket")) == F.struct("key", "h")
     places = F.filter(F.array(F.struct(F.col("bucket"), F.lit(False).alias("ghost")), F.when(head, F.struct(before.alias("bucket"), F.lit(True).alias("ghost")))), lambda p: p.isNotNull())
-    rows = rows.select("key", "doc_id", "text", F.explode(places).alias("p")).select("key", "doc_id", "text", "p.bucket", "p.ghost")
-    order = Window.partitionBy("bucket").orderBy("ghost", "key", "text")
+    rows = rows.select("key", "h", "doc_id", "text", F.explode(places).alias("p")).select("key", "h", "doc_id", "text", "p.bucket", "p.ghost")
+    order = Window.partitionBy("bucket").orderBy("ghost", "key", "h", "text")
     return rows.select("bucket", F.row_number().over(order).alias("rn"), "ghost", "doc_id", "text", F.lead("text").over(order).alias("next"))
 
 
@@ -79,7 +103,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """For each row of docs (doc_id, text): n_chars, its fingerprint, that of its edited text, and their likeness.
 
     The edited text has the last floor(n_chars / 4) code points replaced by the first as many of the next row's text.
-    One row is its own next; an empty table gives no rows; repeated ids are in the order of their texts; other columns
+    One row is its own next; an empty table gives no rows; repeated ids are in the order of in_sequence(); other columns
     are not looked at. One shuffle: all later steps keep the buckets of in_sequence.
     """
     n = F.char_length("text")

@@ -557,12 +557,15 @@ def test_op8_query(spark):
 def test_fingerprints(spark, docs, monkeypatch):
     real = fingerprints.in_sequence
     monkeypatch.setattr(fingerprints, "in_sequence", lambda d: real(d, 9))
-    rows = [*docs[:50], *ODD]
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+    rows = [*docs[:50], *ODD, *((7010, f"one id {k} {'x' * k}") for k in range(60)), *(((1 << 60) + k, f"large id {k}") for k in range(30))]
+    signed = lambda t: (xxhash.xxh64_intdigest(t, seed=42) + (1 << 63)) % (1 << 64) - (1 << 63)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed((r[1] or "").encode()), (r[1] or "").encode()))
     want = []
     for k, (d, t) in enumerate(order):
         t, q = t or "", len(t or "") // 4
         want.append((str(d), len(t), hashlib.sha256((t[: len(t) - q] + (order[(k + 1) % len(order)][1] or "")[:q]).encode()).hexdigest()))
+    sizes = [r["count"] for r in fingerprints.in_sequence(frame(spark, rows)).groupBy("bucket").count().collect()]
+    assert len(sizes) > 9 and max(sizes) < 45  # one id of 60 rows does not fill a bucket
     got = fingerprints.edited_fingerprints(frame(spark, rows)).collect()
     assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == sorted(want)
     alone = fingerprints.fingerprint_documents(frame(spark, rows)).collect()
@@ -754,3 +757,37 @@ def test_pipeline(spark):
         assert name != "secrets" or out.count() == docs.count()
     assert os.path.basename(p.__file__) == "corpus_pipeline.py"
     assert p.run(spark, SF).columns == ["doc_id", "n_tokens", "ids"]
+
+
+def test_pipeline_against_a_plain_version(spark, model):
+    from sentencepiece import SentencePieceProcessor
+
+    import corpus_pipeline as p
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    fitted = quality.trained(docs, labels)
+    one = lambda t: quality.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+    rows = [(d, t) for d, t in rows if fitted.score(one(t))[0] >= 0.3]
+    group = alike_components(rows)
+    rows = [(d, t) for d, t in rows if group[d] == d]
+    index = decontaminate.Index([tuple(r) for r in duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()], 0.5, 0.6)
+    rows = [(d, t) for d, t in rows if not index.leaks(t)]
+    texts = secrets.redact_all([t for _, t in rows])
+    sp = SentencePieceProcessor(model_file=model)
+    want = {d: sp.encode(t, add_eos=True) for (d, _), t in zip(rows, texts, strict=True)}
+    assert {r.doc_id: list(r.ids) for r in p.run(spark, SF).collect()} == want and 50 < len(want) < docs.count()
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as p
+
+    odd = [(*r, "en", "s", 1) for r in [*ODD, (None, "null id here"), (None, None)]]
+    df = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long").withColumn("row", F.lit(1)).withColumn("key", F.lit("k"))
+    for name, stage in p.STAGES:
+        assert stage(spark, df.where("false"), SF).count() == 0, name
+        out = stage(spark, df, SF)
+        if name in ("secrets", "tokens"):
+            assert out.count() == len(odd)
+        assert name == "tokens" or out.columns == df.columns, name
+    assert {r.doc_id for r in p.near_copies(spark, df, SF).collect()} == {None, 7000, 7001, 7002, 7003, 7004}
