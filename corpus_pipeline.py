@@ -1,4 +1,9 @@
-"""A corpus pipeline over `documents`: quality, near copies, benchmark leaks, secrets, then token ids."""
+"""A corpus pipeline over `documents`: quality, near copies, benchmark leaks, secrets, then token ids.
+
+Every stage takes null ids, null and empty texts, repeated rows, further columns and an empty table: nulls count as empty
+texts, rows stay apart whatever their ids (near_copies: rows of one id stay or go together), further columns come along
+but in the last stage, and an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -40,7 +45,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_copies", near_copies), ("leaks", leaks), ("secrets", secrets), ("tokens", tokens)]
 
-#: No stage of it can be said in SQL as a whole; tests hold each stage against a plain version.
+#: No stage of it can be said in SQL as a whole; a test holds run() against a plain version of all stages.
 ORACLE_SQL = None
 
 
