@@ -31,7 +31,8 @@ from .common import groups, keyed, read, run_starts, utf8, written
 
 ANCHOR = 32
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
-PIECE = 1 << 20
+PIECE = 1 << 18  # bytes of text whose hashes are held at a time
+ROWS = 500  # rows with texts that are held as Python objects at a time
 
 
 def _slide(a: np.ndarray, op, width: int) -> np.ndarray:
@@ -282,7 +283,7 @@ def _contexts():
     """From rows key, tie, text, at (array of struct(h, place)): CONTEXTS, with the bytes to the left of a place reversed."""
 
     def run(batches):
-        for b in batches:
+        for b in (x.slice(i, ROWS) for x in batches for i in range(0, x.num_rows, ROWS)):
             out = [[] for _ in range(6)]
             for key, tie, text, ats in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data = (text or "").encode()
@@ -358,13 +359,22 @@ def _covered(length: int):
                 order = [0] * (j - i)
                 for r, x in enumerate(np.lexsort(place[i:j].T[::-1]).tolist()):
                     order[x] = r
+                most = [-1] * (j - i)  # bytes before, of what covers a place so far; of its groups those with more bytes after come first
                 for before, after, members in maximal_repeats(left[i:j], right[i:j], length):
                     first = min(members, key=order.__getitem__)
-                    found += [(i + x, before, after) for x in members if x != first]
-            row, before, after = np.array(found, np.int64).reshape(-1, 3).T
-            key, tie, at = place[row].T if len(row) else np.zeros((3, 0), np.int64)
-            cols = _spans(key, tie, at - before, at + after)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "tie", "s", "e"])
+                    for x in members:
+                        if before > most[x] and x != first:
+                            most[x] = before
+                            found.append((i + x, before, after))
+                if len(found) > 50_000:
+                    yield spans(place, found)
+                    found = []
+            yield spans(place, found)
+
+    def spans(place: np.ndarray, found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        row, before, after = np.array(found, np.int64).reshape(-1, 3).T
+        key, tie, at = place[row].T if len(row) else np.zeros((3, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in _spans(key, tie, at - before, at + after)], names=["key", "tie", "s", "e"])
 
     return run
 
@@ -462,7 +472,7 @@ OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 
 
 def _cut(batches):
-    for b in batches:
+    for b in (x.slice(i, ROWS) for x in batches for i in range(0, x.num_rows, ROWS)):
         rows = []
         for doc, text, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
             data = (text or "").encode()
