@@ -84,6 +84,17 @@ def sgn(x: Column) -> Column:
     return F.when(x < 0, -1).otherwise(1)
 
 
+# Colours by name, as red, green and blue from 0 to 1.
+COLOURS = {
+    "black": (0.0, 0.0, 0.0), "white": (1.0, 1.0, 1.0), "red": (1.0, 0.0, 0.0), "green": (0.0, 1.0, 0.0), "blue": (0.0, 0.0, 1.0),
+    "yellow": (1.0, 1.0, 0.0), "cyan": (0.0, 1.0, 1.0), "magenta": (1.0, 0.0, 1.0),
+}
+
+
+def colour(name: str) -> Vec:
+    return tuple(F.lit(x) for x in COLOURS[name])
+
+
 def hsv_to_rgb(h: Column, s: Column, v: Column) -> Vec:
     """Hue in radians, taken modulo a full turn."""
     turn = F.lit(h) - F.floor(F.lit(h) / (2 * math.pi)) * (2 * math.pi)

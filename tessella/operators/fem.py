@@ -61,6 +61,17 @@ def load_2d(tris: DataFrame, vertices: DataFrame, force: Column) -> DataFrame:
     return w.select(F.explode(F.array("v0", "v1", "v2")).alias("i"), share.alias("v")).groupBy("i").agg(F.sum("v").alias("v"))
 
 
+def load_3d(tets: DataFrame, vertices: DataFrame, force: Column) -> DataFrame:
+    """(i, v): the load of a force, an expression of columns x, y, z at a cell's centre."""
+    w = with_corners(tets, vertices)
+    det = dot(sub(corner(1), corner(0)), cross(sub(corner(2), corner(0)), sub(corner(3), corner(0))))
+    w = w.withColumn("_v", F.abs(det) / 6)
+    for c in "xyz":
+        w = w.withColumn(c, (F.col(f"{c}0") + F.col(f"{c}1") + F.col(f"{c}2") + F.col(f"{c}3")) / 4)
+    share = force * F.col("_v") / 4
+    return w.select(F.explode(F.array("v0", "v1", "v2", "v3")).alias("i"), share.alias("v")).groupBy("i").agg(F.sum("v").alias("v"))
+
+
 def pattern(cells: DataFrame) -> DataFrame:
     """(i, j): where an assembled matrix has entries."""
     edges = neighbors(cells).toDF("i", "j")

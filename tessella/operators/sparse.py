@@ -28,6 +28,11 @@ def add(a: DataFrame, b: DataFrame, ka: float = 1.0, kb: float = 1.0) -> DataFra
     return summed(a.select("i", "j", (F.col("v") * ka).alias("v")).unionByName(b.select("i", "j", (F.col("v") * kb).alias("v"))))
 
 
+def on_pattern(a: DataFrame, pattern: DataFrame, value: float = 1e-12) -> DataFrame:
+    """a with `value` added wherever pattern (i, j) has an entry, so that all of the pattern is there."""
+    return add(a, pattern.select("i", "j", F.lit(value).alias("v")))
+
+
 def diagonal(a: DataFrame) -> DataFrame:
     return a.where("i = j").select("i", "v")
 

@@ -168,56 +168,58 @@ class Multigrid:
         """x, or zero, with the sweeps for its residual added."""
         a = self.levels[at].a
         step = in_block_sweeps(a, b if x is None else sparse.residual(b, a, x), self.opts.smoother_weight, sweeps)
-        return written(step if x is None else sparse.axpby(1.0, x, 1.0, step), "x", x)
+        return written(step if x is None else sparse.axpby(1.0, x, 1.0, step), "x")
 
     def cycle(self, b: DataFrame, at: int = 0, kind: str | None = None) -> DataFrame:
         """An approximate solution of A x = b from zero."""
         level, o, kind = self.levels[at], self.opts, kind or self.opts.cycle
         if level.p is None:
             return dense_solve(*self.dense, b)
+        below = self.levels[at + 1].p is not None
         x = self.relax(at, b, None, o.pre_sweeps)
-        for visit in {"V": "V", "W": "WW", "F": "FV", "K": "K"}[kind]:
-            down = written(sparse.spmv(sparse.transpose(level.p), sparse.residual(b, level.a, x)), "r")
-            if visit == "K" and self.levels[at + 1].p is not None:
-                low = self.descend(down, at + 1, None, 2, 0.0).x
-            else:
-                low = self.cycle(down, at + 1, visit)
-            x = written(sparse.axpby(1.0, x, 1.0, sparse.spmv(level.p, low)), "x", x)
+        visits = {"V": "V", "W": "WW", "F": "FV", "K": "K"}[kind] if below else "V"  # a second visit of a dense level adds nothing
+        for k, visit in enumerate(visits):
+            down = sparse.spmv(sparse.transpose(level.p), sparse.residual(b, level.a, x))
+            down = written(down, "r") if below else down
+            low = self.descend(down, at + 1, None, 2, 0.0).x if visit == "K" and below else self.cycle(down, at + 1, visit)
+            better = sparse.axpby(1.0, x, 1.0, sparse.spmv(level.p, low))
+            if k + 1 < len(visits):
+                better = written(better, "x")
+                discard(x)
+                x = better
             discard(down)
-        for _ in range(o.post_relaxes):
-            x = self.relax(at, b, x, o.post_sweeps)
-        return x
+        for k in range(o.post_relaxes):
+            new = self.relax(at, b, better, o.post_sweeps)
+            discard(x if k == 0 else better)
+            better = new
+        return better
 
     def descend(self, b: DataFrame, at: int, x: DataFrame | None, iterations: int, limit: float) -> Solution:
-        """Flexible conjugate gradients on a level, with its cycle as preconditioner; solver "amg" adds up cycles alone."""
+        """Flexible conjugate gradients on a level, with its cycle as preconditioner; solver "amg" adds up cycles alone.
+
+        A round writes two tables beside those of the cycle: p and A p, then x and the residual.
+        """
         a, o = self.levels[at].a, self.opts
-        rows = a.where("i = j").select("i").join(b.select("i", F.col("v").alias("b")), "i", "left")
-        start = F.coalesce("x", F.lit(0.0)) if x is not None else F.lit(0.0)
-        rows = rows.join(x.select("i", F.col("v").alias("x")), "i", "left") if x is not None else rows
-        state = rows.select("i", start.alias("x"), F.coalesce("b", F.lit(0.0)).alias("b"))
-        first = state.select("i", F.col("x").alias("v"))
-        state = written(_beside(state, sparse.spmv(a, first), "y").select("i", "x", (F.col("b") - F.col("y")).alias("r")), "cg")
-        right = b.select("i", "v")
-        p, norm, done, before = None, _norm(state, "r"), 0, 0.0
+        rows = a.where("i = j").select("i").join(b.select("i", F.col("v").alias("b")), "i", "left").select("i", F.coalesce("b", F.lit(0.0)).alias("b"))
+        rows = _beside(rows, x, "x") if x is not None else rows.withColumn("x", F.lit(0.0))
+        first = rows.select("i", F.col("x").alias("v"))
+        state = written(_beside(rows, sparse.spmv(a, first), "y").select("i", "x", (F.col("b") - F.col("y")).alias("r")), "cg")
+        right, held, norm, done, before = b.select("i", "v"), None, _norm(state, "r"), 0, 0.0
         while norm > limit and done < iterations:
-            r = state.select("i", F.col("r").alias("v"))
-            z = self.cycle(r, at)
+            z = self.cycle(state.select("i", F.col("r").alias("v")), at)
             if o.solver == "amg" and at == 0:
-                new = written(_beside(state, z, "z").select("i", (F.col("x") + F.col("z")).alias("x")), "x")
-                left = sparse.residual(right, a, new.select("i", F.col("x").alias("v")))
-                state = written(_beside(new, left, "r"), "cg", state)
-                discard(new)
+                new = sparse.axpby(1.0, state.select("i", F.col("x").alias("v")), 1.0, z)
+                left = sparse.residual(right, a, new)
+                state = written(_beside(new.select("i", F.col("v").alias("x")), left, "r"), "cg", state)
             else:
                 zs = _beside(state, z, "z")
-                rz, old = zs.agg(F.sum(F.col("r") * F.col("z")), F.sum(F.col("_r") * F.col("z")) if p is not None else F.lit(0.0)).first()
+                rz, old = zs.agg(F.sum(F.col("r") * F.col("z")), F.sum(F.col("_r") * F.col("z")) if held is not None else F.lit(0.0)).first()
                 if not rz:
                     break
-                new = z.select("i", "v") if p is None else sparse.axpby(1.0, z, (rz - old) / before, p)
-                p, before = written(new, "p", p), rz
-                q = written(_beside(_beside(state, p, "p"), sparse.spmv(a, p), "q").select("i", "x", "r", "p", "q"), "q")
-                step = rz / q.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
-                state = written(q.select("i", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("q")).alias("r"), F.col("r").alias("_r")), "cg", state)
-                discard(q)
+                p = z.select("i", "v") if held is None else sparse.axpby(1.0, z, (rz - old) / before, held.select("i", F.col("p").alias("v")))
+                held, before = written(_beside(_beside(state.select("i", "x", "r"), p, "p"), sparse.spmv(a, p), "q"), "p", held), rz
+                step = rz / held.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
+                state = written(held.select("i", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("q")).alias("r"), F.col("r").alias("_r")), "cg", state)
             discard(z)
             norm, done = _norm(state, "r"), done + 1
         return Solution(state.select("i", F.col("x").alias("v")), norm, done, norm <= limit)

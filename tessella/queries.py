@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import quadrature
 from .functions import vectors as V
 from .operators import aggregation as G
 from .operators import fem, graph, mesh, sparse
@@ -91,6 +93,14 @@ def mesh_valence_stats(spark, sf):
     return mesh.valence_stats(tri_mesh(spark, sf).edges)
 
 
+TET_EDGES = "SELECT DISTINCT src, dst FROM (SELECT unnest([v0,v0,v0,v1,v1,v1,v2,v2,v2,v3,v3,v3]) AS src, unnest([v1,v2,v3,v0,v2,v3,v0,v1,v3,v0,v1,v2]) AS dst FROM tets)"
+
+
+@query(f"SELECT min(n) AS min_valence, max(n) AS max_valence, CAST(sum(n) // count(*) AS BIGINT) AS mean_valence FROM (SELECT src, count(*) AS n FROM ({TET_EDGES}) GROUP BY src)", TET_SQL)
+def tet_valence_stats(spark, sf):
+    return mesh.valence_stats(tet_mesh(spark, sf).edges)
+
+
 @query("SELECT unnest([v0, v1, v2]) AS vid, cid FROM tris", TRI_SQL)
 def mesh_adjacent_cells(spark, sf):
     return mesh.adjacent_cells(tri_mesh(spark, sf).cells)
@@ -153,6 +163,23 @@ def mesh_rescale(spark, sf):
     return rounded(mesh.rescale(tri_mesh(spark, sf).vertices, 16.0), 6, "x", "y", "z")
 
 
+@query(f", b AS (SELECT min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS by_ FROM vertices) SELECT vid, {r('(x-ax)/(bx-ax)*9', 6, 'x')}, {r('(y-ay)/(by_-ay)*9', 6, 'y')}, {r('z', 6, 'z')} FROM vertices, b", TRI_SQL)
+def mesh_rescale_flat(spark, sf):
+    """Triangle meshes keep their height."""
+    return rounded(mesh.rescale(tri_mesh(spark, sf).vertices, 9.0, "xy"), 6, "x", "y", "z")
+
+
+NORMALS = """, n AS (SELECT cid, v0, v1, v2, (y1-y0)*(z2-z0)-(z1-z0)*(y2-y0) AS a, (z1-z0)*(x2-x0)-(x1-x0)*(z2-z0) AS b, (x1-x0)*(y2-y0)-(y1-y0)*(x2-x0) AS c FROM corners),
+ u AS (SELECT unnest([v0, v1, v2]) AS vid, a, b, c FROM n),
+ w AS (SELECT vid, sum(a) AS a, sum(b) AS b, sum(c) AS c FROM u GROUP BY vid)"""
+
+
+@query(f"{NORMALS} SELECT vid, {r('a / sqrt(a*a+b*b+c*c)', 6, 'nx')}, {r('b / sqrt(a*a+b*b+c*c)', 6, 'ny')}, {r('c / sqrt(a*a+b*b+c*c)', 6, 'nz')} FROM w", TRI_SQL)
+def mesh_vertex_normals(spark, sf):
+    m = tri_mesh(spark, sf)
+    return rounded(mesh.vertex_normals(m.cells, m.vertices), 6, "nx", "ny", "nz")
+
+
 PIN = "x = 0 or x = 1 or y = 0"
 SWEEP = "SELECT p.vid, CASE WHEN p.x = 0 OR p.x = 1 OR p.y = 0 OR q.vid IS NULL THEN p.x ELSE q.x END AS x, CASE WHEN p.x = 0 OR p.x = 1 OR p.y = 0 OR q.vid IS NULL THEN p.y ELSE q.y END AS y, CASE WHEN p.x = 0 OR p.x = 1 OR p.y = 0 OR q.vid IS NULL THEN p.z ELSE q.z END AS z FROM {0} p LEFT JOIN (SELECT src AS vid, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM edges JOIN {0} v ON v.vid = dst GROUP BY src) q ON p.vid = q.vid"
 
@@ -233,6 +260,27 @@ def fem_pattern(spark, sf):
     return fem.pattern(tri_mesh(spark, sf).cells)
 
 
+@query(f"SELECT src AS i, dst AS j FROM ({TET_EDGES}) UNION ALL SELECT DISTINCT src, src FROM ({TET_EDGES})", TET_SQL)
+def fem_pattern_3d(spark, sf):
+    return fem.pattern(tet_mesh(spark, sf).cells)
+
+
+DET = "((x1-x0)*((y2-y0)*(z3-z0)-(z2-z0)*(y3-y0)) + (y1-y0)*((z2-z0)*(x3-x0)-(x2-x0)*(z3-z0)) + (z1-z0)*((x2-x0)*(y3-y0)-(y2-y0)*(x3-x0)))"
+
+
+@query(f", l AS (SELECT unnest([v0, v1, v2, v3]) AS i, abs({DET}) / 24 * (1 + (x0+x1+x2+x3)/4 + 2*(z0+z1+z2+z3)/4) AS v FROM corners) SELECT i, {r('sum(v)', 6, 'v')} FROM l GROUP BY i", TET_SQL)
+def fem_load_3d(spark, sf):
+    m = tet_mesh(spark, sf)
+    return rounded(fem.load_3d(m.cells, m.vertices, 1 + F.col("x") + 2 * F.col("z")), 6, "v")
+
+
+@query("SELECT CAST(n AS INT) AS corners, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(CASE WHEN i = j THEN 2.0 ELSE 1.0 END / CASE n WHEN 3 THEN 24.0 ELSE 120.0 END, 9) AS v FROM (VALUES (3), (4)) c(n), range(4) a(i), range(4) b(j) WHERE i < n AND j < n")
+def reference_mass(spark, sf):
+    """Mass integrals of the linear basis on the reference cells, by quadrature in collapsed coordinates."""
+    rows = [(n, i, j, round(float(v), 9)) for n in (3, 4) for (i, j), v in np.ndenumerate(quadrature.reference_mass(n))]
+    return spark.createDataFrame(rows, "corners int, i int, j int, v double")
+
+
 @query(f"SELECT i, j, {r('v', 6, 'v')} FROM a", FEM)
 def fem_mirrored(spark, sf):
     m = tri_mesh(spark, sf)
@@ -336,6 +384,24 @@ def block_jacobi_sweep(spark, sf):
     return rounded(sparse.block_jacobi(written(fem.operator_2d(m.cells, m.vertices)), rhs, m.patches.withColumnRenamed("agg_id", "block_id"), 0.67, 2), 4, "v")
 
 
+@query(f"SELECT (n - 1 - a.i) AS i, (n - 1 - a.j) AS j, {r('a.v', 6, 'v')} FROM a, c", FEM)
+def matrix_permuted(spark, sf):
+    """The operator with its rows and columns in descending order."""
+    m = tri_mesh(spark, sf)
+    ids = m.vertices.select("vid", (m.n - 1 - F.col("vid")).alias("new_id"))
+    return rounded(sparse.permute(fem.operator_2d(m.cells, m.vertices), ids), 6, "v")
+
+
+@query(f", coarse AS (SELECT agg_id, avg(p_size) AS v FROM patches JOIN part ON p_partkey = vid GROUP BY 1) SELECT p_partkey AS i, {r('p_retailprice + 0.5 * coarse.v', 4, 'v')} FROM part JOIN patches ON vid = p_partkey JOIN coarse ON coarse.agg_id = patches.agg_id", TRI_SQL)
+def patch_correction(spark, sf):
+    """A piecewise constant correction: half of the mean size of a vertex's patch is added to its price."""
+    m = tri_mesh(spark, sf)
+    size = m.part.select(F.col("p_partkey").alias("vid"), "p_size")
+    coarse = m.patches.join(size, "vid").groupBy(F.col("agg_id").alias("i")).agg(F.avg("p_size").alias("v"))
+    half = m.vertices.select(F.col("vid").alias("i"), F.lit(0.5).alias("v"))
+    return rounded(sparse.piecewise_correction(m.rhs, coarse, m.patches, half), 4, "v")
+
+
 def _system(spark, sf):
     """The operator of the mesh and the right-hand side whose solution is p_size, for each vertex of a triangle."""
     m = tri_mesh(spark, sf)
@@ -344,7 +410,7 @@ def _system(spark, sf):
     return a, written(sparse.spmv(a, x))
 
 
-SOLVER = multigrid.SolverOptions(tolerance=1e-9, top_size=64)
+SOLVER = multigrid.SolverOptions(tolerance=1e-9, top_size=128, depth=3)
 SIZE = "SELECT p_partkey AS i, CAST(p_size AS DOUBLE) AS x FROM part WHERE p_partkey IN (SELECT src FROM edges)"
 
 
@@ -461,6 +527,19 @@ def drop_small_parts(spark, sf):
     return graph.drop_small(tri_mesh(spark, sf).patches, 16)
 
 
+@query(", k AS (SELECT agg_id, row_number() OVER (ORDER BY agg_id) - 1 AS id FROM (SELECT agg_id FROM patches JOIN part ON p_partkey = vid GROUP BY 1 HAVING sum(p_size) >= 400)) SELECT vid, id AS agg_id FROM patches JOIN k ON k.agg_id = patches.agg_id", TRI_SQL)
+def drop_light_parts(spark, sf):
+    m = tri_mesh(spark, sf)
+    return graph.drop_small(m.patches, 400, m.part.select(F.col("p_partkey").alias("vid"), F.col("p_size").alias("w")))
+
+
+@query(f", q AS (SELECT sum(p_size) AS s FROM patches JOIN part ON p_partkey = vid GROUP BY agg_id) {STATS}".replace("min(s) AS", "CAST(min(s) AS BIGINT) AS").replace("max(s) AS", "CAST(max(s) AS BIGINT) AS").replace("(SELECT s FROM", "(SELECT CAST(s AS BIGINT) FROM"), TRI_SQL)
+def part_weight_stats(spark, sf):
+    m = tri_mesh(spark, sf)
+    sizes = graph.part_sizes(m.patches, m.part.select(F.col("p_partkey").alias("vid"), F.col("p_size").alias("w")))
+    return rounded(graph.size_stats(sizes, "weight"), 6, "mean_size", "std_size")
+
+
 @query(", l AS (SELECT agg_id, vid, row_number() OVER (PARTITION BY agg_id ORDER BY vid) - 1 AS k FROM patches) SELECT a.agg_id, a.k AS src, b.k AS dst FROM edges JOIN l a ON a.vid = src JOIN l b ON b.vid = dst AND b.agg_id = a.agg_id", TRI_SQL)
 def subgraphs(spark, sf):
     m = tri_mesh(spark, sf)
@@ -557,6 +636,14 @@ GROWN = _mis_sql(2) + """, grown(round, vid, root) AS (
     UNION ALL SELECT (SELECT max(round) + 1 FROM now), vid, root FROM ring))"""
 
 
+@query("SELECT vid, agg_id FROM g4", ROOTS.replace("arg_min(agg_id, dst)", "min(agg_id)"))
+def least_root_agg(spark, sf):
+    """As nearest_root_agg, but of the labels beside it a vertex takes the least."""
+    m = tri_mesh(spark, sf)
+    roots = m.vertices.where((F.floor(F.col("vid") / m.m) % 3 == 0) & (F.col("vid") % m.m % 3 == 0)).select("vid")
+    return G.from_roots(written(m.edges), roots, "nearest")
+
+
 @query("SELECT vid, dense_rank() OVER (ORDER BY root) - 1 AS agg_id FROM grown WHERE round = (SELECT max(round) FROM grown)", GROWN)
 def aggregate_parts(spark, sf):
     return G.aggregate(*_linked(tri_mesh(spark, sf)), 2, priority=F.expr(PRIORITY))
@@ -590,6 +677,19 @@ def restrict_part_size(spark, sf):
     return graph.label_flags(e, v, written(G.restrict(e, uneven, 28)), 1, 28).drop("connected")
 
 
+@query(FLAGS, TRI_SQL)
+def weighted_parts(spark, sf):
+    """Connected parts that weigh 600 at most, where a vertex weighs its p_size."""
+    m = tri_mesh(spark, sf)
+    e, v = _linked(m)
+    weights = m.part.select(F.col("p_partkey").alias("vid"), F.col("p_size").cast("long").alias("w"))
+    labels = written(G.weighted_aggregate(e, v, weights.join(v, "vid"), 2, 600))
+    heavy = graph.part_sizes(labels, weights).where(F.col("weight") > 600).select("agg_id")
+    flags = graph.label_flags(e, v, labels).drop("fits")
+    fits = labels.join(heavy.withColumn("heavy", F.lit(True)), "agg_id", "left").select("vid", F.col("heavy").isNull().alias("fits"))
+    return flags.join(fits, "vid").select("vid", "assigned", "connected", "fits")
+
+
 @query(FLAGS, TRI_SQL)
 def merge_split(spark, sf):
     m = tri_mesh(spark, sf)

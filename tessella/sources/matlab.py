@@ -1,6 +1,6 @@
 """MAT version 5 files, uncompressed: sparse matrices and dense vectors.
 
-A file is read through Spark's `binaryFile`, so any store will do; it is parsed on the driver and must fit there.
+A file is read through Spark's `binaryFile`, so any store will do, and parsed in one task, which it must fit.
 """
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 TYPES = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9: "f8", 12: "i8", 13: "u8"}
@@ -64,27 +65,46 @@ def parse_vector(data: bytes) -> np.ndarray:
     return _numbers(parts[2], order).astype(float)
 
 
-def _content(spark: SparkSession, path: str) -> bytes:
-    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+ROWS = 1 << 16  #: numbers of a batch
+
+
+def _read(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                columns = parse(bytes(data))
+                for at in range(0, len(columns[0]), ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + ROWS]) for c in columns], names=names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 
 
 def read_sparse(spark: SparkSession, path: str) -> DataFrame:
-    i, j, v = parse_sparse(_content(spark, path))
-    return spark.createDataFrame(list(zip(i.tolist(), j.tolist(), v.tolist(), strict=True)), "i long, j long, v double")
+    return _read(spark, path, parse_sparse, "i long, j long, v double")
 
 
 def read_vector(spark: SparkSession, path: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(parse_vector(_content(spark, path)).tolist())), "i long, v double")
+    def parse(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        values = parse_vector(data)
+        return np.arange(len(values)), values
+
+    return _read(spark, path, parse, "i long, v double")
 
 
 def _pad(data: bytes) -> bytes:
     return data + b"\0" * (-len(data) % 8)
 
 
-def vector_bytes(values: np.ndarray, name: str = "x_h") -> bytes:
+def _vector_head(n: int, name: str) -> bytes:
     tag = lambda kind, data: struct.pack("<II", kind, len(data)) + _pad(data)
-    body = tag(6, struct.pack("<II", DOUBLE, 0)) + tag(5, struct.pack("<ii", len(values), 1)) + tag(1, name.encode()) + tag(9, np.asarray(values, "<f8").tobytes())
-    return b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack("<H", 0x0100) + b"IM" + struct.pack("<II", MATRIX, len(body)) + body
+    body = tag(6, struct.pack("<II", DOUBLE, 0)) + tag(5, struct.pack("<ii", n, 1)) + tag(1, name.encode()) + struct.pack("<II", 9, 8 * n)
+    return b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack("<H", 0x0100) + b"IM" + struct.pack("<II", MATRIX, len(body) + 8 * n) + body
+
+
+def vector_bytes(values: np.ndarray, name: str = "x_h") -> bytes:
+    return _vector_head(len(values), name) + np.asarray(values, "<f8").tobytes()
 
 
 def sparse_bytes(i: np.ndarray, j: np.ndarray, v: np.ndarray, n: int, name: str = "A") -> bytes:
@@ -96,6 +116,19 @@ def sparse_bytes(i: np.ndarray, j: np.ndarray, v: np.ndarray, n: int, name: str
 
 
 def write_vector(x: DataFrame, path: str, name: str = "x_h") -> None:
-    """A vector (i, v) in order of i as a double column; the file is written by the driver."""
-    with open(path, "wb") as f:
-        f.write(vector_bytes(np.array([r[0] for r in x.orderBy("i").select("v").collect()]), name))
+    """A vector (i, v) in order of i as a double column, in any store; the driver holds a partition of it at a time."""
+    spark = x.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(_vector_head(x.count(), name)))
+        held = []
+        for row in x.orderBy("i").select("v").toLocalIterator():
+            held.append(row[0])
+            if len(held) == ROWS:
+                out.write(bytearray(np.array(held, "<f8").tobytes()))
+                held = []
+        if held:
+            out.write(bytearray(np.array(held, "<f8").tobytes()))
+    finally:
+        out.close()

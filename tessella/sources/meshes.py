@@ -102,8 +102,18 @@ def _strips(ids: list[int]) -> list[list[int]]:
     return out
 
 
+#: Attributes of PLY vertices that are kept, and other names for them.
+ATTRIBUTES = ("nx", "ny", "nz", "red", "green", "blue", "confidence")
+ALIASES = {"diffuse_red": "red", "diffuse_green": "green", "diffuse_blue": "blue"}
+
+
 def parse_ply(data: bytes) -> tuple[np.ndarray, list]:
-    """ASCII and binary of either byte order; faces, triangle strips and range grids."""
+    return parse_ply_attributes(data)[:2]
+
+
+def parse_ply_attributes(data: bytes) -> tuple[np.ndarray, list, dict[str, np.ndarray]]:
+    """ASCII and binary of either byte order; faces, triangle strips and range grids; and the ATTRIBUTES of the vertices,
+    colours of whole numbers as shares of 255."""
     end = data.index(b"end_header")
     end = data.index(b"\n", end) + 1
     header = [x.split() for x in data[:end].decode("latin-1").splitlines()]
@@ -118,7 +128,7 @@ def parse_ply(data: bytes) -> tuple[np.ndarray, list]:
     order, at, fields = ("<" if "little" in form else ">"), end, None
     if form == "ascii":
         fields, at = data[end:].split(), 0
-    points, faces, cells = np.zeros((0, 3)), [], []
+    points, faces, cells, more = np.zeros((0, 3)), [], [], {}
     for name, count, props in elements:
         plain = all(p[0] != "list" for p in props)
         names = [p[-1] for p in props]
@@ -148,6 +158,11 @@ def parse_ply(data: bytes) -> tuple[np.ndarray, list]:
                     rows[p[-1]].append([int(v) for v in got])
         if name == "vertex":
             points = np.column_stack([rows["x"], rows["y"], rows["z"]]) if count else points
+            for p in props:
+                known = ALIASES.get(p[-1], p[-1])
+                if known in ATTRIBUTES:
+                    values = np.asarray(rows[p[-1]], float)
+                    more[known] = values / 255 if known in ("red", "green", "blue") and PLY_TYPES[p[0]][0] != "f" else values
         elif name == "face":
             faces = next((rows[k] for k in ("vertex_indices", "vertex_index") if k in rows), [])
         elif name == "tristrips":
@@ -162,7 +177,7 @@ def parse_ply(data: bytes) -> tuple[np.ndarray, list]:
                 there = [k for k in square if k >= 0]
                 if len(there) > 2:
                     faces.append(there)
-    return points, [list(f) for f in faces]
+    return points, [list(f) for f in faces], more
 
 
 def parse_obj(data: bytes) -> tuple[np.ndarray, list]:
@@ -281,6 +296,20 @@ def read_triangles(spark: SparkSession, path: str, kind: str | None = None) -> M
     return rows.where("kind = 0").select(F.col("k").alias("vid"), "x", "y", "z"), rows.where("kind = 1").select(F.col("k").alias("cid"), "v0", "v1", "v2")
 
 
+def read_ply_attributes(spark: SparkSession, path: str) -> DataFrame:
+    """(vid, nx, ny, nz, red, green, blue, confidence) of a PLY file's vertices; null where the file has no such property."""
+    names = ["vid", *ATTRIBUTES]
+
+    def run(batches):
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                points, _, more = parse_ply_attributes(data)
+                cols = [pa.array(more[c], pa.float64()) if c in more else pa.nulls(len(points), pa.float64()) for c in ATTRIBUTES]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(points))), *cols], names=names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "vid long, " + ", ".join(f"{c} double" for c in ATTRIBUTES))
+
+
 def _text(spark: SparkSession, parts: list[DataFrame], path: str) -> None:
     """Parts of (k, line), in order, as one text file."""
     rows = None
@@ -297,6 +326,25 @@ def write_ply(vertices: DataFrame, tris: DataFrame, path: str) -> None:
     _text(spark, [spark.createDataFrame(list(enumerate(head)), "k long, line string"), vertices.select(F.col("vid").alias("k"), F.concat_ws(" ", "x", "y", "z").alias("line")), tris.select(F.col("cid").alias("k"), F.concat_ws(" ", F.lit(3), "v0", "v1", "v2").alias("line"))], path)
 
 
+def write_mesh(vertices: DataFrame, tris: DataFrame, path: str, kind: str = "ply") -> None:
+    """A text file of the kind ply, obj, off, sm or ray, in a folder with one part file."""
+    if kind == "ply":
+        return write_ply(vertices, tris, path)
+    spark = vertices.sparkSession
+    heads = {"off": ["OFF", f"{vertices.count()} {tris.count()} 0"], "sm": [str(vertices.count())], "obj": ["# vertices and faces"], "ray": ["#vertices and triangles"]}
+    if kind not in heads:
+        raise ValueError(f"unknown kind of mesh file: {kind}")
+    points = {"obj": "v ", "ray": "#vertex "}.get(kind, "")
+    first = 1 if kind == "obj" else 0
+    cells = {"obj": "f ", "off": "3 ", "ray": "#shape_triangle 0 "}.get(kind, "")
+    lines = lambda xs: spark.createDataFrame(list(enumerate(xs)), "k long, line string")
+    parts = [lines(heads[kind]), vertices.select(F.col("vid").alias("k"), F.concat(F.lit(points), F.concat_ws(" ", "x", "y", "z")).alias("line"))]
+    if kind == "sm":
+        parts.append(lines([str(tris.count())]))
+    corners = F.concat_ws(" ", *[(F.col(c) + first).cast("string") for c in ("v0", "v1", "v2")])
+    _text(spark, [*parts, tris.select(F.col("cid").alias("k"), F.concat(F.lit(cells), corners).alias("line"))], path)
+
+
 def write_vtk(vertices: DataFrame, cells: DataFrame, values: DataFrame, path: str, name: str = "traveltime") -> None:
     """A legacy ASCII VTK grid with one scalar (i, v) for each vertex, in a folder with one part file."""
     spark = vertices.sparkSession

@@ -104,3 +104,59 @@ def test_vtk(spark, tmp_path):
     meshes.write_vtk(v, t, v.selectExpr("vid as i", "x as v"), str(tmp_path / "vtk"))
     lines = next((tmp_path / "vtk").glob("part-*")).read_text().splitlines()
     assert lines[4] == "POINTS 4 float" and "CELLS 2 8" in lines and lines.count("5") == 2 and lines[-1] == "0.0"
+
+
+def test_elements_keep_unused_first_vertices(spark, tmp_path):
+    for first, want in ((0, 0), (1, 0), (2, 0), (3, 2), (7, 6)):
+        (tmp_path / "b.ele").write_text(f"2 4 0\n1 {first} {first + 1} {first + 2} {first + 3}\n2 {first + 1} {first + 2} {first + 3} {first + 4}\n")
+        got = [tuple(r)[1:5] for r in meshes.read_elements(spark, str(tmp_path / "b.ele")).orderBy("cid").collect()]
+        assert got == [(want, want + 1, want + 2, want + 3), (want + 1, want + 2, want + 3, want + 4)]
+
+
+def test_ply_attributes(spark, tmp_path):
+    kinds = [("float", c) for c in ("x", "y", "z", "nx", "ny", "nz")] + [("uchar", c) for c in ("red", "green", "diffuse_blue")] + [("float", "confidence")]
+    head = "".join(f"property {t} {c}\n" for t, c in kinds)
+    rows = [(0, 0, 0, 0, 0, 1, 255, 0, 51, 0.5), (1, 0, 0, 1, 0, 0, 0, 102, 255, 1)]
+    for form, body in (
+        ("ascii", "".join(" ".join(map(str, r)) + "\n" for r in rows).encode()),
+        ("binary_big_endian", b"".join(struct.pack(">6f3Bf", *r) for r in rows)),
+    ):
+        (tmp_path / "c.ply").write_bytes(f"ply\nformat {form} 1.0\nelement vertex 2\n{head}element face 0\nproperty list uchar int vertex_indices\nend_header\n".encode() + body)
+        got = [tuple(r) for r in meshes.read_ply_attributes(spark, str(tmp_path / "c.ply")).orderBy("vid").collect()]
+        assert got == [(0, 0.0, 0.0, 1.0, 1.0, 0.0, 0.2, 0.5), (1, 1.0, 0.0, 0.0, 0.0, 0.4, 1.0, 1.0)]
+    (tmp_path / "d.ply").write_text("ply\nformat ascii 1.0\nelement vertex 1\nproperty float x\nproperty float y\nproperty float z\nend_header\n0 0 0\n")
+    assert tuple(meshes.read_ply_attributes(spark, str(tmp_path / "d.ply")).first()) == (0, *[None] * 7)
+
+
+@pytest.mark.parametrize("kind", ["ply", "obj", "off", "sm", "ray"])
+def test_written_meshes_are_read_again(spark, tmp_path, kind):
+    v = spark.createDataFrame([(k, *p) for k, p in enumerate(TRI[0])], "vid long, x double, y double, z double")
+    t = spark.createDataFrame([(k, *f) for k, f in enumerate(TRI[1])], "cid long, v0 long, v1 long, v2 long")
+    meshes.write_mesh(v, t, str(tmp_path / kind), kind)
+    points, tris = meshes.read_triangles(spark, str(next((tmp_path / kind).glob("part-*"))))
+    assert sorted(map(tuple, points.collect())) == sorted(map(tuple, v.collect())) and sorted(map(tuple, tris.collect())) == sorted(map(tuple, t.collect()))
+    with pytest.raises(ValueError, match="unknown kind"):
+        meshes.write_mesh(v, t, str(tmp_path / "x"), "gif")
+
+
+def test_side_files_and_patterns(spark, tmp_path):
+    from tessella.operators import sparse
+
+    meshes.write_values(spark.createDataFrame([(2, 7), (1, 5), (3, 6)], "vid long, valence long"), "vid", "valence", str(tmp_path / "valence"))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "valence").glob("part-*"))) == "5\n7\n6\n"
+    a = spark.createDataFrame([(0, 0, 2.0)], "i long, j long, v double")
+    full = sparse.on_pattern(a, spark.createDataFrame([(0, 0), (0, 1)], "i long, j long"))
+    assert {(r.i, r.j): r.v for r in full.collect()} == {(0, 0): pytest.approx(2.0), (0, 1): pytest.approx(1e-12)}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tessella.__main__ import main
+
+    m = 5
+    v = spark.createDataFrame([(k, float(k % m), float(k // m), 0.0) for k in range(m * m)], "vid long, x double, y double, z double")
+    t = spark.createDataFrame([x for k in range(m * (m - 1)) if k % m < m - 1 for x in ((2 * k, k, k + 1, k + m + 1), (2 * k + 1, k, k + m + 1, k + m))], "cid long, v0 long, v1 long, v2 long")
+    meshes.write_mesh(v, t, str(tmp_path / "mesh"), "ply")
+    b = v.selectExpr("vid as i", "1.0D as v")
+    matlab.write_vector(b, str(tmp_path / "b.mat"))
+    main(["-i", str(next((tmp_path / "mesh").glob("part-*"))), "-b", str(tmp_path / "b.mat"), "-o", str(tmp_path / "out"), "-v"])
+    assert "rounds" in capsys.readouterr().out and len(list((tmp_path / "out").glob("part-*"))) == 1
