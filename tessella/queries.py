@@ -410,12 +410,12 @@ def _system(spark, sf):
     return a, written(sparse.spmv(a, x))
 
 
-SOLVER = multigrid.SolverOptions(tolerance=1e-9, top_size=128, depth=3)
+SOLVER = multigrid.SolverOptions(tolerance=1e-8, top_size=128)
 SIZE = "SELECT p_partkey AS i, CAST(p_size AS DOUBLE) AS x FROM part WHERE p_partkey IN (SELECT src FROM edges)"
 
 
 def _rounded_solution(x):
-    return rounded(x.select("i", F.col("v").alias("x")), 1, "x")
+    return rounded(x.select("i", F.col("v").alias("x")), 0, "x")
 
 
 @query(SIZE, TRI_SQL)
