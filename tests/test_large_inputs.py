@@ -8,6 +8,7 @@ from tests.conftest import DATA
 SF = f"{DATA}/sf0.001"
 UNSENT = (
     "diag",
+    "fem_load_2d",
 )
 
 
