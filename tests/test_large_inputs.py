@@ -9,6 +9,7 @@ SF = f"{DATA}/sf0.001"
 UNSENT = (
     "diag",
     "fem_load_2d",
+    "fem_load_3d",
 )
 
 
