@@ -10,6 +10,7 @@ UNSENT = (
     "diag",
     "fem_load_2d",
     "fem_load_3d",
+    "fem_mirrored",
 )
 
 
