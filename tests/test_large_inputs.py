@@ -13,6 +13,7 @@ UNSENT = (
     "fem_mirrored",
     "galerkin",
     "matrix_permuted",
+    "mesh_normals",
 )
 
 
