@@ -14,6 +14,7 @@ UNSENT = (
     "galerkin",
     "matrix_permuted",
     "mesh_normals",
+    "mesh_radius_edge",
 )
 
 
