@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cross, dot, scale, sub
-from .mesh import corner, neighbors, with_corners
+from .mesh import corner, neighbors, unsent, with_corners
 
 
 def _entries(cells: DataFrame, k: int, value) -> DataFrame:
-    """(i, j, v): the sum over cells of value(a, b) for each pair of corners."""
+    """(i, j, v): the sum over cells of value(a, b) for each pair of corners. Joins do not broadcast it."""
     local = F.array(*[F.struct(F.col(f"v{a}").alias("i"), F.col(f"v{b}").alias("j"), value(a, b).alias("v")) for a in range(k) for b in range(k)])
-    return cells.select(F.explode(local).alias("e")).select("e.*").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return unsent(cells.select(F.explode(local).alias("e")).select("e.*").groupBy("i", "j").agg(F.sum("v").alias("v")))
 
 
 def _area2() -> Column:

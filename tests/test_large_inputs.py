@@ -16,6 +16,7 @@ UNSENT = (
     "mesh_normals",
     "mesh_radius_edge",
     "mesh_vertex_normals",
+    "residual",
 )
 
 
