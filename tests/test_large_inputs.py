@@ -17,6 +17,7 @@ UNSENT = (
     "mesh_radius_edge",
     "mesh_vertex_normals",
     "residual",
+    "smoothed_prolongator",
 )
 
 
