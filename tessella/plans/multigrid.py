@@ -19,6 +19,7 @@ from ..operators.graph import induced, permutation
 from .lineage import discard, written
 
 DENSE = 4096  #: most rows of a dense solve
+BANDED = 1 << 26  #: most numbers that the elimination by levels keeps, 512 MB
 
 
 @dataclass(frozen=True)
@@ -84,16 +85,91 @@ def dense(a: DataFrame, most: int = DENSE) -> tuple[np.ndarray, np.ndarray]:
     return out, ids
 
 
-def dense_solve(matrix: np.ndarray, ids: np.ndarray, b: DataFrame) -> DataFrame:
+def _solved(solve, ids: np.ndarray, b: DataFrame) -> DataFrame:
+    """(i, v): what solve gives for the right-hand side b of rows ids."""
     rows, right = b.select("i", "v").toPandas(), np.zeros(len(ids))  # no more rows than ids
     right[np.searchsorted(ids, rows["i"])] = rows["v"]
-    x = np.linalg.solve(matrix, right)
+    x = solve(right)
     return b.sparkSession.createDataFrame(list(zip(map(int, ids), map(float, x), strict=True)), "i long, v double")
 
 
-def direct(a: DataFrame, b: DataFrame, most: int = DENSE) -> DataFrame:
-    """Dense LU on the driver; a matrix of more than `most` rows is an error."""
-    return dense_solve(*dense(a, most), b)
+def dense_solve(matrix: np.ndarray, ids: np.ndarray, b: DataFrame) -> DataFrame:
+    return _solved(lambda right: np.linalg.solve(matrix, right), ids, b)
+
+
+def breadth_first(i: np.ndarray, j: np.ndarray, n: int) -> list[np.ndarray]:
+    """The rows 0 to n - 1 in levels, so that each entry is of one level or of two that follow each other."""
+    i, j = np.concatenate((i, j)), np.concatenate((j, i))
+    order = np.argsort(i, kind="stable")
+    to, start, seen = j[order], np.searchsorted(i[order], np.arange(n + 1)), np.zeros(n, bool)
+
+    def search(root: int) -> list[np.ndarray]:
+        levels, now = [], np.array([root])
+        while len(now):
+            seen[now] = True
+            levels.append(now)
+            near = np.unique(np.concatenate([to[start[k] : start[k + 1]] for k in now]))
+            now = near[~seen[near]]
+        return levels
+
+    out: list[np.ndarray] = []
+    for row in range(n):
+        if not seen[row]:
+            first = search(row)
+            seen[np.concatenate(first)] = False
+            out += search(first[-1][0])  # from a far end levels are narrow
+    return out
+
+
+def banded_solve(i: np.ndarray, j: np.ndarray, v: np.ndarray, right: np.ndarray, most: int = BANDED) -> np.ndarray:
+    """Block elimination along breadth-first levels, with pivots inside a level: exact for positive definite matrices.
+
+    It keeps the widths of neighbouring levels multiplied; more than `most` numbers are an error.
+    """
+    levels = breadth_first(i, j, len(right))
+    width = [len(x) for x in levels] + [0]
+    if (size := sum(a * b for a, b in zip(width, width[1:], strict=False))) > most:
+        raise ValueError(f"{size} numbers are too many for a direct solve, the most is {most}")
+    level, place = np.empty(len(right), int), np.empty(len(right), int)
+    for k, rows in enumerate(levels):
+        level[rows], place[rows] = k, np.arange(len(rows))
+    order = np.argsort(level[i], kind="stable")
+    i, j, v = i[order], j[order], v[order]
+    start = np.searchsorted(level[i], np.arange(len(levels) + 1))
+
+    def block(k: int, to: int) -> np.ndarray:
+        part = slice(start[k], start[k + 1])
+        here = level[j[part]] == to
+        out = np.zeros((width[k], width[to]))
+        np.add.at(out, (place[i[part][here]], place[j[part][here]]), v[part][here])
+        return out
+
+    solved: list[np.ndarray] = []  # of each level: what its rows take of the next level's, and the right-hand side
+    for k, rows in enumerate(levels):
+        own, rest = block(k, k), right[rows]
+        if k:
+            low = block(k, k - 1)
+            own, rest = own - low @ solved[-1][:, :-1], rest - low @ solved[-1][:, -1]
+        solved.append(np.linalg.solve(own, np.column_stack((block(k, k + 1), rest))))
+    x = np.zeros(len(right))
+    for k in range(len(levels) - 1, -1, -1):
+        x[levels[k]] = solved[k][:, -1] - (solved[k][:, :-1] @ x[levels[k + 1]] if k + 1 < len(levels) else 0.0)
+    if not np.linalg.norm(right - np.bincount(i, v * x[j], len(right))) <= 1e-8 * np.linalg.norm(right):
+        raise ArithmeticError("the elimination lost accuracy, as pivots inside a level were not enough")
+    return x
+
+
+def direct(a: DataFrame, b: DataFrame, most: int | None = None) -> DataFrame:
+    """LU on the driver: dense up to DENSE rows, by banded_solve beyond. Where `most` is given it is dense, and a matrix of
+    more rows is an error."""
+    if most is not None or (n := size_of(a)) <= DENSE:
+        return dense_solve(*dense(a, DENSE if most is None else most), b)
+    rows = a.select("i", "j", "v").toPandas()
+    ids = np.unique(rows["i"].to_numpy())
+    if len(ids) != n:
+        raise ValueError("the matrix has rows without diagonal")
+    i, j, v = np.searchsorted(ids, rows["i"]), np.searchsorted(ids, rows["j"]), rows["v"].to_numpy(float)
+    return _solved(lambda right: banded_solve(i, j, v, right), ids, b)
 
 
 def parts_of(edges: DataFrame, vertices: DataFrame, opts: SolverOptions) -> DataFrame:

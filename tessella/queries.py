@@ -443,7 +443,7 @@ def vcycle(spark, sf):
 
 @query("SELECT DISTINCT agg_id AS i, CAST(agg_id % 97 AS DOUBLE) AS x FROM patches", TRI_SQL)
 def direct_solve(spark, sf):
-    """Dense LU of the contracted system of the patches, whose rows are few."""
+    """LU of the contracted system of the patches, a sixteenth of the vertices."""
     m = tri_mesh(spark, sf)
     a = fem.operator_2d(m.cells, m.vertices)
     coarse = written(sparse.galerkin(a, sparse.smoothed_prolongator(a, m.patches)))
