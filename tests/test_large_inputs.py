@@ -22,6 +22,7 @@ UNSENT = (
     "residual",
     "smoothed_prolongator",
     "tet_across_face",
+    "fem_operator_2d",
 )
 
 
