@@ -23,6 +23,7 @@ UNSENT = (
     "smoothed_prolongator",
     "tet_across_face",
     "fem_operator_2d",
+    "fem_stiffness_2d",
 )
 
 
