@@ -24,6 +24,7 @@ UNSENT = (
     "tet_across_face",
     "fem_operator_2d",
     "fem_stiffness_2d",
+    "tet_radius_edge",
 )
 
 
