@@ -25,6 +25,7 @@ UNSENT = (
     "fem_operator_2d",
     "fem_stiffness_2d",
     "tet_radius_edge",
+    "tet_volume_by_material",
 )
 
 
