@@ -23,6 +23,7 @@ UNSENT = (
     "smoothed_prolongator",
     "tet_across_face",
     "fem_operator_2d",
+    "fem_operator_3d",
     "fem_stiffness_2d",
     "tet_radius_edge",
     "tet_volume_by_material",
