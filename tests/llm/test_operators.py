@@ -550,6 +550,12 @@ def test_op8_query(spark):
     assert out.columns == ["page_id", "host", "path", "rule", "verdict"] and out.count() == spark.read.parquet(f"{SF}/pages.parquet").count()
     assert out.where("verdict not in ('block', 'allow')").count() == 0
 
+def test_op8_labels_every_page(spark, monkeypatch):
+    real, seen = urls.labelled_by_content, []
+    monkeypatch.setattr(urls, "labelled_by_content", lambda pages, *a: seen.append(pages) or real(pages, *a))
+    urls.op8_url_filters(spark, SF)
+    assert seen[0].exceptAll(spark.read.parquet(f"{SF}/pages.parquet")).count() == 0 and seen[0].count() == spark.read.parquet(f"{SF}/pages.parquet").count()
+
 
 # 9
 
