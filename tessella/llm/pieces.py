@@ -152,6 +152,10 @@ class Pieces:
                 self.memo[text] = found
         return found
 
+    def forget(self) -> None:
+        """Lets go of what was kept of texts: a worker that stays would hold it beside whatever runs in it next."""
+        self.memo, self.older, self.fits = {}, {}, {}
+
     def parts(self, text: str):
         """Lists of chunks' results, for slices of a text that are cut where no token reaches over."""
         if not text:
@@ -232,21 +236,30 @@ def pieces(model: bytes) -> Pieces:
     return Pieces(model)
 
 
-def _mapped(docs: DataFrame, model_path: str, f, schema: str, types: tuple) -> DataFrame:
-    with open(model_path, "rb") as file:  # the driver's own vocabulary file; half a megabyte goes with the tasks
-        model = file.read()
+def _encoding(model: bytes, f, schema: str, types: tuple):
+    """From rows doc_id, text: doc_id and what f gives for a text. Nothing of the texts is kept when it ends."""
 
     def run(batches):
         own = pieces(model)
-        for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                part = b.slice(i, 2000)
-                rows = [f(own, t) for t in texts(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=[x.split()[0] for x in schema.split(", ")])
+        try:
+            for b in batches:
+                for i in range(0, b.num_rows, 2000):
+                    part = b.slice(i, 2000)
+                    rows = [f(own, t) for t in texts(part.column(1))]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=[x.split()[0] for x in schema.split(", ")])
+        finally:
+            own.forget()
+
+    return run
+
+
+def _mapped(docs: DataFrame, model_path: str, f, schema: str, types: tuple) -> DataFrame:
+    with open(model_path, "rb") as file:  # the driver's own vocabulary file; half a megabyte goes with the tasks
+        model = file.read()
 
     from pyspark.sql import functions as F
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoding(model, f, schema, types), schema)
 
 
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
