@@ -14,9 +14,15 @@ from .mesh import corner, neighbors, unsent, with_corners
 
 
 def _entries(cells: DataFrame, k: int, value) -> DataFrame:
-    """(i, j, v): the sum over cells of value(a, b) for each pair of corners. Joins do not broadcast it."""
-    local = F.array(*[F.struct(F.col(f"v{a}").alias("i"), F.col(f"v{b}").alias("j"), value(a, b).alias("v")) for a in range(k) for b in range(k)])
-    return unsent(cells.select(F.explode(local).alias("e")).select("e.*").groupBy("i", "j").agg(F.sum("v").alias("v")))
+    """(i, j, v): the sum over cells of the symmetric value(a, b) for each pair of corners. Joins do not broadcast it.
+
+    A pair is summed once and mirrored afterwards. What value reads should be columns: the JVM leaves too long code uncompiled.
+    """
+    ends = lambda a, b: (F.least(f"v{a}", f"v{b}"), F.greatest(f"v{a}", f"v{b}")) if a != b else (F.col(f"v{a}"), F.col(f"v{a}"))
+    local = F.array(*[F.struct(ends(a, b)[0].alias("i"), ends(a, b)[1].alias("j"), value(a, b).alias("v")) for a in range(k) for b in range(a, k)])
+    half = cells.select(F.explode(local).alias("e")).select("e.*").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    there, back = F.struct("i", "j", "v"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+    return unsent(half.select(F.explode(F.when(F.col("i") == F.col("j"), F.array(there)).otherwise(F.array(there, back))).alias("e")).select("e.*"))
 
 
 def _area2() -> Column:
@@ -49,9 +55,11 @@ def operator_3d(tets: DataFrame, vertices: DataFrame, stiffness: float = 1.0, ma
     w = w.withColumn("_d", det)
     w = w.withColumn("_d", F.when(F.col("_d") == 0, F.raise_error(F.concat(F.lit("tetrahedron without volume: "), F.col("cid").cast("string"))).cast("double")).otherwise(F.col("_d")))
     grad = [scale(cross(sub(corner(f[1]), corner(f[0])), sub(corner(f[2]), corner(f[0]))), 1 / F.col("_d")) for f in faces.values()]
-    volume = F.abs(F.col("_d")) / 6
-    co = coefficient(F.col("mat"))
-    return _entries(w, 4, lambda p, q: stiffness * co * dot(grad[p], grad[q]) * volume + mass * volume * ((2 if p == q else 1) / 20))
+    named = [c.alias(f"_g{k}{a}") for k, g in enumerate(grad) for c, a in zip(g, "xyz", strict=True)]
+    w = w.select("v0", "v1", "v2", "v3", coefficient(F.col("mat")).alias("_co"), (F.abs(F.col("_d")) / 6).alias("_w"), *named)
+    w = w.withColumn("_k", stiffness * F.col("_co") * F.col("_w"))
+    g = [tuple(F.col(f"_g{k}{a}") for a in "xyz") for k in range(4)]
+    return _entries(w, 4, lambda p, q: F.col("_k") * dot(g[p], g[q]) + mass * F.col("_w") * ((2 if p == q else 1) / 20))
 
 
 def load_2d(tris: DataFrame, vertices: DataFrame, force: Column) -> DataFrame:

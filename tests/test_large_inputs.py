@@ -54,3 +54,15 @@ def test_direct_solve_beyond_the_dense_limit(spark):
     assert multigrid.direct(a, right.where(F.col("v") > 1e9)).where("v <> 0").count() == 0
     with pytest.raises(ValueError, match="too many"):
         multigrid.banded_solve(i, j, v, b, most=100)
+
+
+@pytest.mark.parametrize("name", ["fem_operator_2d", "fem_operator_3d"])
+def test_assembly_is_code_that_the_jvm_compiles(spark, name):
+    """Methods of over 8,000 bytes are interpreted for good."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan()
+        codes = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$").__getattr__("MODULE$").codegenStringSeq(plan)
+        assert max(codes.apply(k)._3().maxMethodCodeSize() for k in range(codes.size())) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
