@@ -21,7 +21,7 @@ def grid(m):
     return arrays.summed(i, j, np.where(i == j, 6.01, -1.0), (m * m, m * m))
 
 
-@pytest.mark.parametrize("name", ["pcg_solve"])
+@pytest.mark.parametrize("name", ["pcg_solve", "amg_solve"])
 def test_a_solve_starts_few_jobs(spark, name):
     """On tables each step of a cycle has jobs of its own."""
     sf, tracker = f"{DATA}/sf0.001", spark.sparkContext.statusTracker()
