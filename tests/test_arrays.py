@@ -71,6 +71,39 @@ def test_products_in_steps():
         assert np.allclose(arrays.dense(got), want) and len(set(zip(got.i, got.j, strict=True))) == len(got.i)
 
 
+@pytest.mark.parametrize(("n", "m", "k"), [(5, 7, 0), (5, 7, 3), (1, 4, 3), (300, 200, 9000), (40000, 300, 300000)])
+def test_products_of_packed_rows(n, m, k):
+    """Rows without entries and a row of more entries than a piece are among them."""
+    r = np.random.default_rng(7)
+    i, j, v = r.integers(0, n, k), r.integers(0, m, k), r.random(k)
+    i[: k // 3] = n // 2
+    want = np.zeros((n, m))
+    np.add.at(want, (i, j), v)
+    a, x, y = arrays.summed(i, j, v, (n, m)), r.random(m), r.random(n)
+    assert np.allclose(arrays.dense(a), want) and np.allclose(a @ x, want @ x)
+    assert np.allclose(arrays.Packed(a) @ x, want @ x) and np.allclose(arrays.Packed(a.t) @ y, y @ want)
+
+
+def test_sweeps_from_zero_take_no_product_first():
+    class Counted:
+        taken = 0
+
+        def __matmul__(self, x):
+            self.taken += 1
+            return inside @ x
+
+    a, p = grid(20), np.random.default_rng(3).integers(-(2**62), 2**62, 400)
+    solve = arrays.Multigrid(a, multigrid.SolverOptions(top_size=16), p, p)
+    right = np.random.default_rng(4).random(400)
+    want = solve.sweeps(0, right, 5)
+    inside, solve.levels[0].inside = solve.levels[0].inside, (counted := Counted())
+    assert np.allclose(solve.sweeps(0, right, 5), want) and counted.taken == 4
+    x = np.zeros(400)
+    for _ in range(5):
+        x += 0.67 * (right - inside @ x) / 6.01
+    assert np.allclose(x, want) and not solve.sweeps(0, right, 0).any()
+
+
 def test_entries_without_a_diagonal_stay_with_the_tables(spark):
     a = spark.createDataFrame([(1, 1, 2.0), (1, 5, 1.0)], "i long, j long, v double")
     b = spark.createDataFrame([(1, 4.0)], "i long, v double")
